@@ -138,7 +138,7 @@ def ordered(docs: DataFrame, rules: Sequence[Rule], *, id_col: str = "doc_id", t
     work = Workspace(spark, "quality")
     share = min(1.0, sample_rows / rows)
     picked = F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(1_000_000 * share) + 1
-    sample = work.save(docs.where(picked).select(text_col).coalesce(1), "sample")
+    sample = work.save(docs.where(picked).select(text_col).repartition(1), "sample")
 
     def timed(sql: str) -> tuple[float, int]:
         began = time.perf_counter()
