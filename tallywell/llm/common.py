@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (makes pa.compute available)
@@ -22,8 +25,28 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
+#: Applications whose executors have this package.
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, wherever the driver has it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(), f"{top.name}.zip")  # the driver serves it from here
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
 def configure(spark: SparkSession) -> None:
-    """Bound what one Arrow batch can hold, whatever the lengths of the texts."""
+    """Ship the package, and bound what one Arrow batch can hold, whatever the lengths
+    of the texts."""
+    _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     with contextlib.suppress(Exception):  # older versions have no byte limit
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

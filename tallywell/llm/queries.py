@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, pieces, quality, secrets, sharding, simhash, substring, suffix, urls
+from . import ann, packing, pieces, quality, secrets, sharding, simhash, substring, suffix, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_substring": substring.op7_substring,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_sharding": sharding.op9_sharding,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 SQL = {
