@@ -13,12 +13,14 @@ weight 0 for such pairs and no path for others, so the only path left is the
 encoding.  Pairs are compiled when first met.
 
 No piece has a space after another character and none has a line break, which is
-checked, so texts are cut there, and the encodings of the pieces of text between
-are kept, in each task up to ``MOST_KEPT`` of them.
+checked, so texts are cut there, and further between any two characters that no
+piece has together.  The encodings of what is between are kept, in each task up to
+``MOST_KEPT`` of either kind.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import configure, slices, texts
 
 #: Encoded stretches of text that a task keeps before it starts afresh.
-MOST_KEPT = 400_000
+MOST_KEPT = 600_000
 #: Name of the public model file.
 MODEL = "piece_bpe_32k.model"
 
@@ -65,20 +67,34 @@ class Transducer:
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in (_NORMAL, _USER, _UNUSED)}
         self.byte = {int(self.text[i][3:5], 16): i for i, k in enumerate(kinds) if k == _BYTE}  # <0x41>
         self.unknown = next((i for i, k in enumerate(kinds) if k == _UNKNOWN), 0)
-        self.longest = max(map(len, self.ids))
+        self.size = list(map(len, self.text))
+        #: Pieces by their characters, one after the other, and a piece's id under 0.
+        self.trie: dict = {}
+        for piece, k in self.ids.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[0] = k
         self.penalty = 10 - min((self.score[i] for i in self.ids.values()), default=0)
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids):
             raise NotImplementedError("pieces may not go across spaces or lines")
         self.cut = re.compile(r" +[^ \n]*|[^ \n]+|\n")
         #: Bytes that each id stands for.
         self.surface = [b"" if k == _CONTROL else bytes([int(t[3:5], 16)]) if k == _BYTE else t.replace(SPACE, " ").encode() for t, k in zip(self.text, kinds)]
+        self.rank = np.unique(-np.array(self.score), return_inverse=True)[1].tolist()
+        #: Neighbouring characters that some piece has; between others any text can be cut.
+        self.together = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.kept: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-
-    def merged(self, text: str) -> list[str]:
-        """What BPE's merges make of ``text``: the best-scored pair first, the leftmost of equals."""
+        self.parts: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
+        self.alone: dict[int, bool] = {}
+        self.halves: dict[int, tuple[int, int]] = {}
+
+    def merged(self, text: str, parts_left: int = 1) -> list[str]:
+        """What BPE's merges make of ``text``: the best-scored pair first, the leftmost of
+        equals, until no more than ``parts_left`` parts are left."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > parts_left:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 k = self.ids.get(parts[i] + parts[i + 1])
@@ -91,55 +107,100 @@ class Transducer:
 
     def _joins(self, a: int, b: int) -> bool:
         """Whether the acceptor has a path over piece a and then b."""
-        key = (a, b)
-        if (got := self.pairs.get(key)) is None:
-            got = self.pairs[key] = self.merged(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
+        return self._alone(b) and (a < 0 or self._apart(a, b))
+
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether merging the characters of both leaves no merge across the boundary:
+        their merges are undone, the latest first, and at each point a merge across that
+        would have come earlier (or, of equals, further left) decides."""
+        text, rank, limit = self.text, self.rank, 1 << 30
+        while True:
+            across = self.ids.get(text[a] + text[b])
+            if across is not None and rank[across] < limit:
+                return False
+            if len(text[a]) > 1 and (len(text[b]) == 1 or rank[a] > rank[b]):
+                limit, a = rank[a], self._halves(a)[1]
+            elif len(text[b]) > 1:
+                limit, b = rank[b] + 1, self._halves(b)[0]
+            else:
+                return True
+
+    def _halves(self, k: int) -> tuple[int, int]:
+        """The two pieces whose merge gives piece k."""
+        if (got := self.halves.get(k)) is None:
+            left = self.merged(self.text[k], 2)
+            got = self.halves[k] = (self.ids[left[0]], self.ids[left[1]])
         return got
 
     def shortest(self, text: str) -> list[int]:
         """The ids on the shortest path for normalised text.
 
-        States are places in the text and, for BPE, the last piece; from each state
-        reached the arcs that match are followed, so the composition is never
-        built as a whole.  A negative last piece is a character's bytes.
+        States of the composition are places in the text and, for BPE, the last piece;
+        they are made when first reached, so the composition is never built as a whole.
+        A last piece of -2 stands for a character's bytes, and -1 for the start.
         """
-        ids, bpe, score, joins = self.ids, self.bpe, self.score, self._joins
-        n = len(text)
-        live: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(n + 1)]
-        live[0][-1] = (0.0, -1, 0)
+        return self._shortest_bpe(text) if self.bpe else self._shortest_unigram(text)
+
+    def _shortest_bpe(self, text: str) -> list[int]:
+        """The only path.  As every beginning of the text has one encoding, only one
+        last piece is reached at each place, and the first one found is it."""
+        n, pairs, trie = len(text), self.pairs, self.trie
+        last: list[int | None] = [None] * (n + 1)
+        last[0] = -1
         for i in range(n):
-            states = live[i]
-            if not states:
+            before = last[i]
+            if before is None:
                 continue
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                k = ids.get(text[i:j])
-                if k is None:
-                    if j > i + 1:
-                        continue
-                    k, weight = -2, self.penalty
-                else:
-                    weight = 0.0 if bpe else -score[k]
-                to = live[j]
-                for last, (cost, _, _) in states.items():
-                    if bpe and k >= 0 and not (joins(last, k) if last >= 0 else self._alone(k)):
-                        continue
-                    mark = k if bpe else 0
-                    if mark not in to or cost + weight < to[mark][0]:
-                        to[mark] = (cost + weight, last, k)
+            node, j = trie.get(text[i]), i
+            if node is None or 0 not in node:
+                last[i + 1] = -2 if last[i + 1] is None else last[i + 1]  # no piece by itself
+            high = before << 20
+            while node is not None:
+                j += 1
+                if last[j] is None and (k := node.get(0)) is not None:
+                    ok = pairs.get(high | k)
+                    if ok is None:
+                        ok = pairs[high | k] = self._joins(before, k)
+                    if ok:
+                        last[j] = k
+                node = node.get(text[j]) if j < n else None
+        out: list[int] = []
+        at = n
+        while at:
+            k = last[at]
+            if k >= 0:
+                out.append(k)
+                at -= self.size[k]
+            else:
+                out += self._bytes(text[at - 1])[::-1]
+                at -= 1
+        return out[::-1]
+
+    def _shortest_unigram(self, text: str) -> list[int]:
+        """By dynamic programming over places, in the tropical semiring."""
+        n = len(text)
+        best: list[tuple[float, int]] = [(0.0, -1), *[(float("inf"), -1)] * n]
+        for i in range(n):
+            cost, node, j = best[i][0], self.trie.get(text[i]), i
+            if node is None or 0 not in node:
+                best[i + 1] = min(best[i + 1], (cost + self.penalty, -2))
+            while node is not None:
+                j += 1
+                if (k := node.get(0)) is not None and cost - self.score[k] < best[j][0]:
+                    best[j] = (cost - self.score[k], k)
+                node = node.get(text[j]) if j < n else None
         out: list[int] = []
-        at, state = n, min(live[n], key=lambda s: live[n][s][0])
-        while at > 0:
-            _, before, k = live[at][state]
-            start = at - (len(self.text[k]) if k >= 0 else 1)
-            out += [k] if k >= 0 else self._bytes(text[start])[::-1]
-            at, state = start, before
+        at = n
+        while at:
+            k = best[at][1]
+            out += [k] if k >= 0 else self._bytes(text[at - 1])[::-1]
+            at -= self.size[k] if k >= 0 else 1
         return out[::-1]
 
     def _alone(self, k: int) -> bool:
         """Whether merging a piece's own characters gives the piece."""
-        key = (-1, k)
-        if (got := self.pairs.get(key)) is None:
-            got = self.pairs[key] = self.merged(self.text[k]) == [self.text[k]]
+        if (got := self.alone.get(k)) is None:
+            got = self.alone[k] = self.merged(self.text[k]) == [self.text[k]]
         return got
 
     def _bytes(self, char: str) -> list[int]:
@@ -154,15 +215,26 @@ class Transducer:
         try:
             return b"".join([kept[p] for p in parts])
         except KeyError:
-            if len(kept) > MOST_KEPT:
-                kept.clear()
-            if len(self.pairs) > MOST_KEPT:
-                self.pairs.clear()
+            for memory in (kept, self.parts, self.pairs):
+                if len(memory) > MOST_KEPT:
+                    memory.clear()
             for p in parts:
                 if p not in kept:
-                    kept[p] = np.array(self.shortest(p.replace(" ", SPACE)), "<u4").tobytes()
+                    kept[p] = self._stretch(p.replace(" ", SPACE))
             return b"".join([kept[p] for p in parts])
 
+    def _stretch(self, text: str) -> bytes:
+        """The ids of a stretch, cut further where no piece can go across."""
+        out, begin, together, known = [], 0, self.together, self.parts
+        for i in range(1, len(text) + 1):
+            if i == len(text) or text[i - 1 : i + 1] not in together:
+                part = text[begin:i]
+                if (got := known.get(part)) is None:
+                    got = known[part] = np.array(self.shortest(part), "<u4").tobytes()
+                out.append(got)
+                begin = i
+        return b"".join(out)
+
     def decode(self, ids: bytes) -> str:
         """The text of such numbers; bytes that are no UTF-8 become U+FFFD."""
         surface = self.surface
@@ -172,7 +244,9 @@ class Transducer:
         return out.decode(errors="replace")
 
 
+@functools.lru_cache(maxsize=1)
 def _encoder(path: str | None) -> Transducer:
+    """Compiled once in a worker, which also keeps what it has encoded for its next task."""
     with open(path or model_path(), "rb") as f:  # a library's file, on every executor
         return Transducer(f.read())
 
