@@ -257,3 +257,12 @@ class Store:
             size = sum(self.files.fs.getContentSummary(self.files._path(s.path)).getLength() for s in t.segments) if self.files else 0
             out.append({"name": t.name, "rows": sum(s.rows for s in t.segments), "segments": len(t.segments), "columns": len(t.columns), "bytes": size})
         return sorted(out, key=lambda x: x["name"])
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which all executors share; below /tmp
+    where that is unset and the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(root or 'file:///tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
