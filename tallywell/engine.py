@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass
 from pprint import pformat
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions.precision import truncated
 from .plans.errors import QueryError, Unsupported, translated
 from .plans.parser import parse
 from .plans.planner import build
@@ -144,14 +145,21 @@ class Engine:
         stats = {"runtime_ns": time.perf_counter_ns() - began, "rows": len(rows), "files": len(df.inputFiles())}
         return {"colnames": df.columns, "rows": rows, "stats": stats}
 
-    def query_cols(self, text: str) -> dict:
-        """{"colnames", "cols", "stats"}; cols has a list for each name (the last of equal ones)."""
+    def query_cols(self, text: str, mantissa: int | None = None, full_precision: Collection[str] = ()) -> dict:
+        """{"colnames", "cols", "stats"}; cols has a list for each name (the last of equal
+        ones).  With ``mantissa`` floats keep so many bits of theirs, but for the columns
+        in ``full_precision``."""
         got = self.query_rows(text)
         lists = [list(c) for c in zip(*got["rows"])] or [[] for _ in got["colnames"]]
-        return {"colnames": got["colnames"], "cols": dict(zip(got["colnames"], lists)), "stats": got["stats"]}
-
-    def multi_query_cols(self, texts: Sequence[str]) -> list[dict]:
-        return [self.query_cols(t) for t in texts]
+        cols = dict(zip(got["colnames"], lists))
+        if mantissa is not None:
+            for name, values in cols.items():
+                if name not in full_precision and any(isinstance(v, float) for v in values):
+                    cols[name] = truncated(values, mantissa)
+        return {"colnames": got["colnames"], "cols": cols, "stats": got["stats"]}
+
+    def multi_query_cols(self, texts: Sequence[str], mantissa: int | None = None, full_precision: Collection[str] = ()) -> list[dict]:
+        return [self.query_cols(t, mantissa, full_precision) for t in texts]
 
     def explain(self, text: str) -> str:
         return self.sql(text)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))

@@ -1,7 +1,8 @@
 """The engine over HTTP, with JSON bodies; for one user at a time, as Spark plans in one process.
 
 GET  /tables, /table/<name>, /metrics, /hey, /
-POST /query {"query"}, /query_cols {"query"}, /multi_query_cols {"queries"},
+POST /query {"query"}, /query_cols {"query"}, /multi_query_cols {"queries"} (the latter two
+     with "mantissa" and "full_precision" if floats are to be cut short),
      /columns {"tables", "pattern", "limit", "offset"}, /insert {table: {column: [values]}}, /echo
 """
 
@@ -34,9 +35,9 @@ def answer(engine: Engine, method: str, path: str, body: bytes) -> tuple[int, ob
         if path == "/query":
             return 200, engine.query_rows(data["query"])
         if path == "/query_cols":
-            return 200, engine.query_cols(data["query"])
+            return 200, engine.query_cols(data["query"], data.get("mantissa"), data.get("full_precision") or ())
         if path == "/multi_query_cols":
-            return 200, engine.multi_query_cols(data["queries"])
+            return 200, engine.multi_query_cols(data["queries"], data.get("mantissa"), data.get("full_precision") or ())
         if path == "/columns":
             return 200, engine.columns(data["tables"], data.get("pattern") or "", data.get("limit"), data.get("offset") or 0)
         if path == "/insert":

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 
 from tallywell.__main__ import command
 from tallywell.engine import Client, Engine, EngineConfig
+from tallywell.functions.precision import truncated
 from tallywell.plans import errors
 from tallywell.plans.ast import Binary, Call, Item, Literal, Name, Order, Query, Unary
 from tallywell.plans.parser import parse, tokens
@@ -248,6 +249,16 @@ def test_client(spark):
         client.log("t", {"x": [1]})
 
 
+def test_mantissa(spark):
+    db = Engine(spark)
+    db.register("t", spark.sql("SELECT 1.0D / 3 AS a, 1.0D / 3 AS b, 3 AS c UNION ALL SELECT NULL, double('nan'), 4"))
+    got = db.query_cols("SELECT a, b, c FROM t ORDER BY c", mantissa=2, full_precision=["b"])["cols"]
+    assert got["a"] == [0.3125, None] and got["b"][0] == 1 / 3 and got["c"] == [3, 4]
+    assert truncated([1.75, -1.75, float("inf")], 1) == [1.5, -1.5, float("inf")] and truncated([0.1], 52) == [0.1]
+    with pytest.raises(ValueError):
+        truncated([1.0], 53)
+
+
 def test_metrics(spark):
     db = Engine(spark)
     db.ingest("t", {"x": [1]})
