@@ -18,19 +18,22 @@ from .plans.session import SETTINGS
 from .sources.csv import CsvOptions, read_csv
 from .sources.generator import Generator, Markov, generate
 from .sources.store import Store
-from .streaming.ingest import EventBuffer, Value, stream_into
+from .streaming.ingest import EventBuffer, Value, check_row, stream_into
+from .streaming.wal import MARK, WriteAheadLog
 
 
 @dataclass(frozen=True)
 class EngineConfig:
     """``path``: folder of the database, None to keep tables in the session.  ``buffer_bytes``:
-    events held back before they become a segment.  ``combine_segments``: segments of a
-    table that are merged into one when events are flushed.  ``compat``: "sql" or "store",
+    events held back before they become a segment.  ``combine_segments``: segments of about
+    one size that are merged when events are flushed.  ``write_ahead``: log what ``ingest``
+    gets before it returns, where there is a path.  ``compat``: "sql" or "store",
     see ``plans.planner.build``.  ``extensions``: what the dialect adds to its core."""
 
     path: str | None = None
     buffer_bytes: int = 64 << 20
-    combine_segments: int = 64
+    combine_segments: int = 16
+    write_ahead: bool = True
     compat: str = "sql"
     extensions: bool = True
     sorted_groups: bool = True
@@ -58,6 +61,10 @@ class Engine:
         self.buffer = EventBuffer(config.buffer_bytes)
         self.counters = {"queries": 0, "rows_ingested": 0, "flushes": 0, "segments_combined": 0}
         self._before: dict[str, float] = {}
+        self.log_file = WriteAheadLog(self.store) if config.path and config.write_ahead else None
+        for table, rows in self.log_file.replay() if self.log_file else ():
+            for row in rows:
+                self.buffer.add_row(table, row)
 
     # tables
 
@@ -92,15 +99,23 @@ class Engine:
     # events
 
     def ingest(self, table: str, columns: Mapping[str, Sequence[Value]]) -> None:
-        self.buffer.add_columns(table, columns)
-        self._grown(max(map(len, columns.values()), default=0))
+        """Columns of values; one that is shorter than others ends in NULL."""
+        n = max(map(len, columns.values()), default=0)
+        self.ingest_rows(table, [{c: v[i] if i < len(v) else None for c, v in columns.items()} for i in range(n)])
 
     def ingest_rows(self, table: str, rows: Sequence[Mapping[str, Value]]) -> None:
+        """Rows, each with the columns that it has."""
+        for row in rows:
+            check_row(row)
+        if self.log_file and rows:
+            self.log_file.write(table, rows)
         for row in rows:
             self.buffer.add_row(table, row)
         self._grown(len(rows))
 
     def log(self, table: str, event: Mapping[str, Value]) -> None:
+        """One event, with the time in ``timestamp`` if it has none.  It is not logged to a
+        file by itself: it is lost with the driver unless flushed."""
         self.buffer.add(table, event)
         self._grown(1)
 
@@ -111,15 +126,18 @@ class Engine:
 
     def flush(self) -> None:
         """Make segments of all events, and merge those of tables that have too many."""
+        marks = {MARK: self.log_file.last} if self.log_file else None
         for table in list(self.buffer.rows):
             frame = self.buffer.frame(self.spark, table)
-            self.store.append(table, frame, rows=len(self.buffer.rows[table]))
+            self.store.append(table, frame, rows=len(self.buffer.rows[table]), marks=marks)
             self.buffer.clear(table)
-            if len(self.store.tables[table].segments) >= self.config.combine_segments:
-                self.compact(table)
+            self.counters["segments_combined"] += self.store.compact_tiers(table, self.config.combine_segments)
+        if self.log_file:
+            self.log_file.clear()
         self.counters["flushes"] += 1
 
-    def compact(self, table: str, files: int = 1) -> int:
+    def compact(self, table: str, files: int | None = None) -> int:
+        """Merge all segments of a table."""
         merged = self.store.compact(table, files)
         self.counters["segments_combined"] += merged
         return merged
@@ -142,9 +160,16 @@ class Engine:
         df = self.sql(text)
         with translated():
             rows = [list(r) for r in df.collect()]
-        stats = {"runtime_ns": time.perf_counter_ns() - began, "rows": len(rows), "files": len(df.inputFiles())}
+        stats = {"runtime_ns": time.perf_counter_ns() - began, "rows": len(rows), "rows_scanned": self._rows_of(parse(text, self.config.extensions).table), "files": len(df.inputFiles())}
         return {"colnames": df.columns, "rows": rows, "stats": stats}
 
+    def _rows_of(self, table: str) -> int | None:
+        """Rows of a table in segments and buffer; None for a registered DataFrame."""
+        if table in self.store.views:
+            return None
+        kept = self.store.tables.get(table)
+        return (sum(s.rows for s in kept.segments) if kept else 0) + len(self.buffer.rows.get(table, ()))
+
     def query_cols(self, text: str, mantissa: int | None = None, full_precision: Collection[str] = ()) -> dict:
         """{"colnames", "cols", "stats"}; cols has a list for each name (the last of equal
         ones).  With ``mantissa`` floats keep so many bits of theirs, but for the columns
@@ -191,6 +216,10 @@ class Engine:
         out = [{**s, "buffered": waiting.pop(s["name"], 0)} for s in self.store.stats()]
         return out + [{"name": t, "rows": 0, "segments": 0, "columns": len(self.buffer.kinds[t]), "bytes": 0, "buffered": n} for t, n in waiting.items()]
 
+    def mem_tree(self, table: str) -> list[Mapping]:
+        """Place, rows, columns and bytes of each segment."""
+        return self.store.tree(table)
+
     def perf_counters(self) -> dict[str, int]:
         return dict(self.counters)
 

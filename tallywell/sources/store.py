@@ -13,6 +13,7 @@ Without a root folder tables live in the session: segments are DataFrames.
 from __future__ import annotations
 
 import json
+import math
 import re
 import time
 import uuid
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from ..functions.typed import BOOL, FLOAT, INT, NULL, SPARK, STR, kind_of, stored
 from ..plans.errors import FatalError
 
+#: Rows of a file that merging makes, on average.
+FILE_ROWS = 4_000_000
 _RANK = {NULL: 0, BOOL: 1, INT: 1, FLOAT: 2, STR: 3}
 
 
@@ -38,7 +41,7 @@ def widest(a: str, b: str) -> str:
     return max(a, b, key=_RANK.__getitem__)
 
 
-@dataclass
+@dataclass(eq=False)
 class Segment:
     columns: list[tuple[str, str]]  # name, kind
     path: str | None = None
@@ -147,9 +150,10 @@ class Store:
             self.tables[name] = Table(name, int(time.time()))
         return self.tables[name]
 
-    def append(self, name: str, df: DataFrame, *, stream: str | None = None, batch: int = 0, rows: int | None = None) -> bool:
+    def append(self, name: str, df: DataFrame, *, stream: str | None = None, batch: int = 0, rows: int | None = None, marks: Mapping[str, int] | None = None) -> bool:
         """Add the rows of ``df`` as a segment; columns of types that the dialect lacks are
-        kept as JSON text.  A stream's batch that was committed before adds nothing."""
+        kept as JSON text.  A stream's batch that was committed before adds nothing.
+        ``marks`` are kept among the batches without that test."""
         table = self.table(name)
         if stream is not None and table.batches.get(stream, -1) >= batch:
             return False
@@ -174,6 +178,7 @@ class Store:
         table.widen(columns)
         if stream is not None:
             table.batches[stream] = batch
+        table.batches.update(marks or {})
         self.commit(table)
         return True
 
@@ -193,48 +198,74 @@ class Store:
         for s in extra:
             for c, kind in s.columns:
                 columns[c] = widest(columns.get(c, NULL), kind)
+        if not table.segments and not extra:
+            return self.spark.createDataFrame([], ", ".join(f"`{c}` {SPARK[k]}" for c, k in columns.items()) or "none string")
+        return self._rows([*table.segments, *extra], columns)
+
+    def _rows(self, segments: Sequence[Segment], columns: Mapping[str, str]) -> DataFrame:
         groups: dict[tuple, list[Segment]] = {}
-        for s in [*table.segments, *extra]:
+        for s in segments:
             groups.setdefault((tuple(map(tuple, s.columns)), s.frame is None), []).append(s)
         parts = []
-        for (had, on_disk), segments in groups.items():
+        for (had, on_disk), same in groups.items():
             if on_disk:
                 schema = ", ".join(f"c{i} {SPARK[k]}" for i, (_, k) in enumerate(had))
-                frames = [self.spark.read.schema(schema).parquet(*(f"{self.root}/{s.path}" for s in segments))]
+                frames = [self.spark.read.schema(schema).parquet(*(f"{self.root}/{s.path}" for s in same))]
             else:
-                frames = [s.frame for s in segments]
+                frames = [s.frame for s in same]
             place = {c: i for i, (c, _) in enumerate(had)}
             for frame in frames:
                 chosen = [
                     (F.col(f"c{place[c]}").cast(SPARK[k]) if c in place else F.lit(None).cast(SPARK[k])).alias(f"x{i}") for i, (c, k) in enumerate(columns.items())
                 ]
                 parts.append(frame.select(*chosen))
-        if not parts:
-            return self.spark.createDataFrame([], ", ".join(f"`{c}` {SPARK[k]}" for c, k in columns.items()) or "none string")
         out = parts[0]
         for p in parts[1:]:
             out = out.union(p)
         return out.toDF(*columns)
 
-    def compact(self, name: str, files: int = 1, least: int = 2) -> int:
-        """Merge a table's segments into one of ``files`` files, if it has ``least`` or
-        more; returns how many were merged.  Old files go once the catalog is committed."""
+    def compact(self, name: str, files: int | None = None, least: int = 2) -> int:
+        """Merge all segments of a table into one, if there are ``least`` or more; returns
+        how many were merged."""
+        segments = self.table(name).segments
+        return self._merge(name, list(segments), files) if len(segments) >= least else 0
+
+    def compact_tiers(self, name: str, width: int) -> int:
+        """Merge segments of about one size where there are ``width`` of them.  Merged
+        segments are a tier higher, so a row is rewritten as often as there are tiers, which
+        are as many as the logarithm of the table's rows, and not with each merge."""
+        merged = 0
+        while True:
+            tiers: dict[int, list[Segment]] = {}
+            for s in self.table(name).segments:
+                tiers.setdefault(int(math.log(max(s.rows, 1), width)), []).append(s)
+            full = next((t for _, t in sorted(tiers.items()) if len(t) >= width), None)
+            if full is None:
+                return merged
+            merged += self._merge(name, full, None)
+
+    def _merge(self, name: str, old: list[Segment], files: int | None) -> int:
+        """Old files go once the catalog without them is committed."""
         table = self.table(name)
-        old = list(table.segments)
-        if len(old) < least:
-            return 0
-        rows = self.read(name)
-        columns = list(table.columns.items())
-        frame = rows.toDF(*(f"c{i}" for i in range(len(columns))))
         count = sum(s.rows for s in old)
+        part = Table(name, table.created)
+        for s in old:
+            part.segments.append(s)
+            part.widen(s.columns)
+        columns = list(part.columns.items())
+        frame = self._rows(part.segments, part.columns).toDF(*(f"c{i}" for i in range(len(columns))))
+        frame = frame.coalesce(files or max(1, count // FILE_ROWS))
         if self.files:
-            path = f"{quote(name, safe='')}/{len(old):06d}-{uuid.uuid4().hex}"
-            frame.coalesce(files).write.parquet(f"{self.root}/{path}")
-            table.segments = [Segment(columns, path, rows=count)]
+            path = f"{quote(name, safe='')}/{len(table.segments):06d}-{uuid.uuid4().hex}"
+            frame.write.parquet(f"{self.root}/{path}")
+            made = Segment(columns, path, rows=count)
         else:
-            frame = frame.coalesce(files).cache()
+            frame = frame.cache()
             frame.count()
-            table.segments = [Segment(columns, frame=frame, rows=count)]
+            made = Segment(columns, frame=frame, rows=count)
+        at = min(table.segments.index(s) for s in old)
+        table.segments = [s for s in table.segments if s not in old]
+        table.segments.insert(at, made)
         self.commit(table)
         for s in old:
             self.files.delete(s.path) if s.path else s.frame.unpersist()
@@ -254,10 +285,15 @@ class Store:
         """Rows, segments, columns and bytes of each table."""
         out = []
         for t in self.tables.values():
-            size = sum(self.files.fs.getContentSummary(self.files._path(s.path)).getLength() for s in t.segments) if self.files else 0
-            out.append({"name": t.name, "rows": sum(s.rows for s in t.segments), "segments": len(t.segments), "columns": len(t.columns), "bytes": size})
+            parts = self.tree(t.name)
+            out.append({"name": t.name, "rows": sum(p["rows"] for p in parts), "segments": len(parts), "columns": len(t.columns), "bytes": sum(p["bytes"] for p in parts)})
         return sorted(out, key=lambda x: x["name"])
 
+    def tree(self, name: str) -> list[Mapping]:
+        """Place, rows, columns and bytes of each segment of a table."""
+        size = lambda s: self.files.fs.getContentSummary(self.files._path(s.path)).getLength() if s.path else 0
+        return [{"path": s.path, "rows": s.rows, "columns": dict(s.columns), "bytes": size(s)} for s in self.table(name).segments]
+
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors share; below /tmp

@@ -181,6 +181,36 @@ def test_automatic_flush_and_compaction(spark, path):
     assert db.counters["segments_combined"] >= 3 and db.table_stats()[0]["segments"] < 4
 
 
+def test_size_tiers(spark, path):
+    db = Engine(spark, EngineConfig(path=path, combine_segments=3))
+    for i in range(9):
+        db.ingest("t", {"v": [i], f"only{i}": [1]})
+        db.flush()
+    sizes = sorted(s["rows"] for s in db.mem_tree("t"))
+    assert sizes == [9] and db.counters["segments_combined"] == 12  # each row was rewritten twice
+    assert rows(db, "SELECT COUNT(1), SUM(v), COUNT(only3) FROM t") == [[9, 36, 1]]
+
+
+def test_log_survives_the_driver(spark, path):
+    db = Engine(spark, EngineConfig(path=path))
+    db.ingest("a", {"v": [1, 2]})
+    db.ingest_rows("b", [{"w": "x"}, {"w": None, "z": 1.5}])
+    again = Engine(spark, EngineConfig(path=path))  # without a flush
+    assert rows(again, "SELECT SUM(v) FROM a") == [[3]] and rows(again, "SELECT COUNT(1), COUNT(w), SUM(z) FROM b") == [[2, 1, 1.5]]
+    # as if the driver had gone between the two tables' commits
+    again.store.append("a", again.buffer.frame(spark, "a"), marks={"_log": again.log_file.last})
+    third = Engine(spark, EngineConfig(path=path))
+    assert rows(third, "SELECT SUM(v) FROM a") == [[3]] and rows(third, "SELECT COUNT(1) FROM b") == [[2]]
+    third.flush()
+    assert third.store.files.names("_log") == []
+    assert rows(Engine(spark, EngineConfig(path=path)), "SELECT COUNT(1) FROM b") == [[2]]
+    third.ingest("a", {"v": [10]})
+    assert rows(Engine(spark, EngineConfig(path=path)), "SELECT SUM(v) FROM a") == [[13]]
+    with pytest.raises(errors.QueryTypeError):
+        third.ingest("a", {"v": [1, [2]]})
+    assert rows(third, "SELECT SUM(v) FROM a") == [[13]]
+
+
 def test_restart_loop(spark, path):
     for n in range(1, 4):
         db = Engine(spark, EngineConfig(path=path))
