@@ -11,7 +11,7 @@ from ..functions import aggregate, scalar
 from ..functions.typed import BOOL, FLOAT, INT, NULL, SPARK, STR, Typed, common, null
 from ..plans.analyzer import is_aggregate
 from ..plans.ast import Between, Binary, Call, Case, Expr, In, IsNull, Like, Literal, Name, Paren, Star, Unary, bare
-from ..plans.errors import Overflow, QueryTypeError
+from ..plans.errors import QueryTypeError
 
 _LEAST, _MOST = -(2**63), 2**63 - 1
 
@@ -23,7 +23,7 @@ def literal(value) -> Typed:
         return Typed(F.lit(value), BOOL)
     if isinstance(value, int):
         if not _LEAST <= value <= _MOST:
-            raise Overflow(f"{value} does not fit in 64 bits")
+            return Typed(F.lit(float(value)), FLOAT)
         return Typed(F.lit(value).cast("long"), INT)
     return Typed(F.lit(value), FLOAT if isinstance(value, float) else STR)
 

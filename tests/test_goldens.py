@@ -112,9 +112,9 @@ EXTENSIONS = [
     ("SELECT id AS n FROM default ORDER BY n DESC LIMIT 1", [[9]]),
     ("SELECT COUNT(DISTINCT enum) FROM default", [[3]]),
     ("SELECT length(string_packed), to_year(id * 40000000), floor(float01), -id FROM default WHERE id = 9", [[4, 1981, -1, -9]]),
-    ("SELECT id FROM default WHERE string_packed LIKE 'a__' AND NOT regex(string_packed, 'y$') ORDER BY id", [[1], [6]]),
+    ("SELECT id FROM default WHERE string_packed LIKE 'a__' AND NOT regex(string_packed, 'y$') ORDER BY id", [[1], [2], [6]]),
     ("SELECT id FROM default WHERE string_packed NOT LIKE '%x%' AND regex(string_packed, '^[a-z]+$') ORDER BY id", [[1], [4], [6], [8]]),
-    ("SELECT enum FROM default ORDER BY SUM(id) DESC", [["aa"], ["cc"], ["bb"]]),
+    ("SELECT enum FROM default ORDER BY SUM(id) DESC", [["bb"], ["aa"], ["cc"]]),
     ("SELECT SUM(id) FROM default ORDER BY enum", [[15], [16], [14]]),
     ("SELECT id FROM default ORDER BY id LIMIT 5 OFFSET 50", []),
     ("SELECT id FROM default WHERE nope = 1 OR id = 2", [[2]]),
