@@ -23,12 +23,10 @@ from .common import configure, raw, slices
 
 BLOCK = "bucket int, kind int, data binary"
 TEXT, ENTRIES, ANSWER = 0, 1, 2
-#: Bytes of text in a bucket of documents, on average.
-TEXT_BYTES = 12 << 20
 #: Bytes of text that numpy works on at once; it needs some fifty times as much memory.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 #: Bytes of text whose entries are gathered before they are dealt out.
-FLUSH_BYTES = 32 << 20
+FLUSH_BYTES = 16 << 20
 #: Bits of a key that are kept where false matches do no harm.
 SHORT = 40
 

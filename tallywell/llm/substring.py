@@ -237,7 +237,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     work = Workspace(docs.sparkSession, "substring")
     rows = blocks.prepared(docs, id_col, text_col)
     size = blocks.total_bytes(rows)
-    doc_buckets, key_buckets = blocks.buckets_for(size, 12 << 20), blocks.buckets_for(size, 24 << 20)
+    doc_buckets, key_buckets = blocks.buckets_for(size, 6 << 20), blocks.buckets_for(size, 12 << 20)
     _, *longer = levels(width, min(first, width - 1))
     start = min(first, width - 1)
     entries = blocks.anchor_entries(rows, lambda t: anchors(t, start, longer[0])[:2], doc_buckets, key_buckets)

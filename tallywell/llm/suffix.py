@@ -12,13 +12,17 @@ hash, which equal windows have at equal offsets.  The steps:
    between splitters taken from a bounded sample.  Of equal suffixes with equal
    bytes before them, one task sends those of its smallest document only, and
    marks the others at once, so a passage in very many documents stays small.
+   A token so common that it fills whole ranges of the sample would not fit in a
+   bucket: the windows around its anchors are dealt by their own hashes instead,
+   and so are compared across the boundaries that would cut the token's suffixes.
 3. A bucket sorts its suffixes by multikey quicksort, 8 bytes a step, and compares
    neighbours: equal ones take the smallest id; those that share the gram compare
    their windows offset by offset, by hash first and then by bytes.
    Splitters are compared as whole leading tokens and matches share more than
-   those (gram > 16), so a run of matching suffixes never crosses a boundary.
+   those (gram > 16), so no other run of matching suffixes crosses a boundary.
 
-Results are exact, whatever the sample.
+Results are exact, whatever the sample; only windows around anchors of such common
+tokens are compared by 64-bit hashes alone, in buckets drawn from other bits.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ from .common import Workspace, raw, slices
 
 #: Bytes of a window, of the gram that anchors it, and of the leading token.
 WIDTH, GRAM, LEAD = 50, 20, 16
+#: The kind of blocks that hold windows around anchors of common tokens.
+WINDOWS = 3
 BEFORE, CONTEXT = WIDTH - GRAM, 2 * WIDTH - GRAM
 #: About so many documents give the splitters.
 SAMPLE_ROWS = 2000
@@ -130,7 +136,7 @@ def _suffixes(buf: np.ndarray, a: np.ndarray, low: np.ndarray, high: np.ndarray)
     return out, (before * 64 + after).astype(np.uint16)
 
 
-def _cut(splitters: np.ndarray, doc_buckets: int):
+def _cut(splitters: np.ndarray, common: np.ndarray, doc_buckets: int, ranges: int):
     """For a bucket of documents: entries for the suffix ranges, and what is decided here."""
 
     def each(table: pa.Table) -> pa.Table:
@@ -169,6 +175,11 @@ def _cut(splitters: np.ndarray, doc_buckets: int):
             out.append((to, ANSWER, blocks.ranges_block(rid, doc[later], pos[later] - far[later], pos[later] - near[later] + 1)))
         keep = np.flatnonzero(ids[doc] == least)
         lead = np.ascontiguousarray(context[keep, :LEAD]).view(f"S{LEAD}").ravel()
+        if len(common):
+            often = np.isin(lead, common)
+            i = keep[often]
+            out += _windows(rid, ids, context[i], doc[i], pos[i], near[i], far[i], doc_buckets, ranges)
+            keep, lead = keep[~often], lead[~often]
         for to, i in deal(np.searchsorted(splitters, lead, "right").astype(np.int32)):
             i = keep[i]
             used, at = np.unique(doc[i], return_inverse=True)
@@ -178,6 +189,52 @@ def _cut(splitters: np.ndarray, doc_buckets: int):
     return each
 
 
+def _windows(rid, ids, context, doc, pos, near, far, doc_buckets: int, ranges: int) -> list[tuple[int, int, bytes]]:
+    """Each window around these anchors by itself, to the bucket of its hash.  Of equal
+    windows here the smallest document's are sent, and the others have their answer."""
+    if not len(doc):
+        return []
+    h = _window_hashes(context)
+    keys, docs, starts = [], [], []
+    for o in range(BEFORE + 1):
+        mine = np.flatnonzero((near <= o) & (o <= far))
+        s = BEFORE - o
+        keys.append(mixed(h[s + WIDTH, mine] - h[s, mine] * _POWERS[WIDTH]))
+        docs.append(doc[mine])
+        starts.append(pos[mine].astype(np.int64) - o)
+    key, doc, start = map(np.concatenate, (keys, docs, starts))
+    order = np.argsort(key, kind="stable")
+    key, doc, start = key[order], doc[order], start[order]
+    begins = runs(key)
+    least = np.repeat(np.minimum.reduceat(ids[doc], begins), np.diff(begins, append=len(key)))
+    later = ids[doc] > least
+    out = []
+    if later.any():
+        to = int(blocks.document_bucket(rid[:1], doc_buckets)[0])
+        out.append((to, ANSWER, blocks.ranges_block(rid, doc[later], start[later], start[later] + 1)))
+    key, doc, start = key[~later], doc[~later], start[~later]
+    for to, i in deal((mixed(key ^ _STEP) % np.uint64(ranges)).astype(np.int32)):
+        i = i[np.lexsort((start[i], doc[i]))]
+        used, at = np.unique(doc[i], return_inverse=True)
+        out.append((to, WINDOWS, pack(rid[used], ids[used], blocks.small(at.astype(np.uint32)), key[i], start[i].astype(np.uint32))))
+    return out
+
+
+def _met(parts: list[tuple], doc_buckets: int) -> list[tuple[int, int, bytes]]:
+    """Answers for windows of a bucket: those of which a smaller document has an equal."""
+    rid, ids, key, start = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(key, kind="stable")
+    rid, ids, key, start = rid[order], ids[order], key[order], start[order]
+    begins = runs(key)
+    hit = ids > np.repeat(np.minimum.reduceat(ids, begins), np.diff(begins, append=len(key)))
+    rid, start = rid[hit], start[hit].astype(np.int64)
+    out = []
+    for to, i in deal(blocks.document_bucket(rid, doc_buckets)):
+        used, at = np.unique(rid[i], return_inverse=True)
+        out.append((to, ANSWER, blocks.ranges_block(used, at, start[i], start[i] + 1)))
+    return out
+
+
 def _window_hashes(context: np.ndarray) -> np.ndarray:
     """Hashes of the starts of each row's bytes in text order, longer by a byte each."""
     text = np.concatenate([context[:, : WIDTH - 1 : -1], context[:, :WIDTH]], axis=1)
@@ -235,12 +292,16 @@ def _compare(doc_buckets: int):
     """For a range of suffixes: the ranges of window starts that smaller documents have."""
 
     def each(table: pa.Table) -> pa.Table:
-        out, parts, base = [], [], 0
+        out, parts, alone = [], [], []
         for bucket, kind, data in zip(*(table[c].to_pylist() for c in ("bucket", "kind", "data"))):
             if kind == ANSWER:
                 out.append((bucket, ANSWER, data))
                 continue
             rid, ids, at, *rest = unpack(data)
+            if kind == WINDOWS:
+                at = np.cumsum(at, dtype=np.int64)
+                alone.append((rid[at], ids[at], *rest))
+                continue
             parts.append((rid[at], ids[at], *rest))
         if parts:
             rid, ids, context, edge, pos, near, far = (np.concatenate(x) for x in zip(*parts))
@@ -270,13 +331,16 @@ def _compare(doc_buckets: int):
             for to, i in deal(blocks.document_bucket(rid, doc_buckets)):
                 used, at = np.unique(rid[i], return_inverse=True)
                 out.append((to, ANSWER, blocks.ranges_block(used, at, begin[i], end[i])))
+        if alone:
+            out += _met(alone, doc_buckets)
         return pa.Table.from_batches([blocks.blocks(out)])
 
     return each
 
 
-def _splitters(rows: DataFrame, ranges: int, sample_rows: int) -> np.ndarray:
-    """Leading tokens that cut the suffixes of a sample into ``ranges`` equal parts."""
+def _splitters(rows: DataFrame, ranges: int, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leading tokens that cut the suffixes of a sample into ``ranges`` equal parts, and
+    those of them that are more than one such cut."""
 
     def each(batches):
         for batch in slices(batches, "text", blocks.CHUNK_BYTES):
@@ -285,15 +349,17 @@ def _splitters(rows: DataFrame, ranges: int, sample_rows: int) -> np.ndarray:
             got = [bytes(buf[x : x + LEAD]) for x in a]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary())], ["lead"])
 
+    none = np.zeros(0, f"S{LEAD}")
     if ranges < 2:
-        return np.zeros(0, f"S{LEAD}")
+        return none, none
     n = rows.count()
     share = int(1_000_000 * min(1.0, sample_rows / max(n, 1))) + 1
     sample = rows.where(F.pmod("rid", F.lit(1_000_000)) < share)
     got = np.sort(np.array([r.lead for r in sample.mapInArrow(each, "lead binary").collect()], f"S{LEAD}"))
-    if not len(got):
-        return np.zeros(0, f"S{LEAD}")
-    return np.unique(got[[len(got) * i // ranges for i in range(1, ranges)]])
+    if len(got) < ranges:  # of so few none is common
+        return np.unique(got), none
+    found, times = np.unique(got[[len(got) * i // ranges for i in range(1, ranges)]], return_counts=True)
+    return found, found[times > 1]
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -308,12 +374,12 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     work = Workspace(docs.sparkSession, "suffix")
     rows = blocks.prepared(docs, id_col, text_col)
     size = blocks.total_bytes(rows)
-    doc_buckets, key_buckets, ranges = (blocks.buckets_for(size, n << 20) for n in (12, 40, 12))
-    splitters = _splitters(rows, ranges, sample_rows)
+    doc_buckets, key_buckets, ranges = (blocks.buckets_for(size, n << 20) for n in (6, 20, 8))
+    splitters, common = _splitters(rows, ranges, sample_rows)
     entries = blocks.anchor_entries(rows, lambda t: anchors(t)[:2], doc_buckets, key_buckets)
     answers = work.save(blocks.shared_anchors(entries, doc_buckets), "answers")
     work.drop()
-    cut = blocks.text_blocks(rows, doc_buckets).union(answers).groupBy("bucket").applyInArrow(_cut(splitters, doc_buckets), BLOCK)
+    cut = blocks.text_blocks(rows, doc_buckets).union(answers).groupBy("bucket").applyInArrow(_cut(splitters, common, doc_buckets, ranges), BLOCK)
     found = work.save(cut.groupBy("bucket").applyInArrow(_compare(doc_buckets), BLOCK), "found")
     work.drop("answers")
     out = work.save(blocks.spans(found, WIDTH), "spans")

@@ -53,6 +53,24 @@ def test_suffix_many_buckets(spark, monkeypatch, size):
     assert {tuple(r) for r in got} == want
 
 
+def test_suffix_common_tokens(spark, monkeypatch):
+    """The same with every token, or some, taken for a common one."""
+    monkeypatch.setattr(blocks, "buckets_for", lambda total, each: max(1, total // 40_000))
+    plain = suffix._splitters
+    for part in (1, 2):
+        monkeypatch.setattr(suffix, "_splitters", lambda rows, ranges, n: (lambda s: (s, np.unique(suffix_tokens(texts(2))[::part])))(plain(rows, ranges, n)[0]))
+        rows = texts(2)
+        want = {(i, sum(gone)) for i, _, gone in brute(rows, 50, lambda t: (t or "").encode())}
+        got = suffix.digests(table(spark, rows)).select("doc_id", "n_removed").collect()
+        assert {tuple(r) for r in got} == want
+
+
+def suffix_tokens(rows):
+    data = [(t or "").encode() for _, t in rows]
+    _, _, a, _, _, buf, _ = suffix.anchors(data)
+    return np.array([bytes(buf[x : x + suffix.LEAD]) for x in a], f"S{suffix.LEAD}")
+
+
 @pytest.mark.parametrize("width,first", [(13, 7), (9, 7), (50, 7)])
 def test_substring(spark, width, first):
     rows = texts(3)
