@@ -33,6 +33,8 @@ from .components import connected_components
 
 #: Links need this many differing bits at most; the grid of one step each way is made for it.
 BITS = 2
+#: Fingerprints, on average, of which one task makes the cells.
+FINGERPRINTS = 20_000
 _BYTES = np.uint64(0x0101010101010101)
 _FULL = 255
 
@@ -150,7 +152,9 @@ def near_duplicates(
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     # the join needs a list that does not change between its two uses
     distinct = work.save(distinct, "distinct")
-    roots = connected_components(links(distinct, segments=segments, crowd=crowd), work)
+    # a fingerprint has 33 cells, so the files, which can be few, are dealt out anew
+    dealt = distinct.repartition(max(1, distinct.count() // FINGERPRINTS), "fp")
+    roots = connected_components(links(dealt, segments=segments, crowd=crowd), work)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
