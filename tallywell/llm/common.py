@@ -66,7 +66,8 @@ class Workspace:
     """Intermediate tables of one run of an operator.
 
     ``save`` writes a DataFrame and returns one that reads the files, which cuts
-    the lineage there; ``drop`` removes tables that nothing needs any more.
+    the lineage there; ``drop`` removes tables that nothing needs any more.  What is
+    left goes when the driver ends, as results are computed from it until then.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -75,6 +76,8 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
+        top = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        top.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(top)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
