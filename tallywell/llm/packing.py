@@ -19,7 +19,9 @@ is run again gives the same rows.
 
 from __future__ import annotations
 
+import functools
 import os
+import unicodedata
 import zlib
 
 import numpy as np
@@ -29,15 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import pack, unpack
-from .common import Workspace, configure, raw, slices
+from .common import Workspace, configure, slices
 
 MOST_TOKENS = 2048
 #: Name of the public tokenizer file, and the id after each document.
 TOKENIZER, END = "word_bpe_49k.json", 0
 #: Pieces of a block on average, islands of a block, epochs, generations of an epoch, individuals of an island.
 BLOCK_PIECES, ISLANDS, EPOCHS, GENERATIONS, INDIVIDUALS = 3000, 2, 2, 4, 4
-#: Words whose ids a task keeps before it starts afresh.
-MOST_KEPT = 400_000
+#: Words whose ids a worker keeps before it starts afresh.
+MOST_KEPT = 500_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -46,11 +48,18 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: Marks that can end a word; none begins a contraction or ends a special token.
+_MARKS = b",.;:!?%*#$&"
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit numbers.
 
     This tokenizer takes white space away and no token goes across it, so a text is
-    split at ASCII white space and each distinct word is tokenized once.
+    split at ASCII white space and each distinct word is tokenized once.  Nor does a
+    token go across the end of a run of letters: marks after a word of letters are
+    tokenized by themselves.  New words of letters are tokenized as one text
+    of many, in which their last tokens, which end a word, tell them apart.
     """
 
     def __init__(self, path: str | None = None):
@@ -58,19 +67,88 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or tokenizer_path())
-        self.kept: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        kept = self.kept
-        if len(kept) > MOST_KEPT:
-            kept.clear()
-        words = [t.split() for t in texts]
-        new = list(set().union(*words).difference(kept))
-        for b in range(0, len(new), 10_000):
-            part = new[b : b + 10_000]
+        suffix = self.tokenizer.model.end_of_word_suffix
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)], bool)
+        self.stems: dict[bytes, bytes] = {}
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's end."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = lists.flatten().dictionary_encode()
+        ids = self.words(words.dictionary.cast(pa.binary()).to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        known = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        at = words.indices.to_numpy()
+        sums = np.concatenate([[0], np.cumsum(sizes[at])])
+        ends = lists.offsets.to_numpy()[1:] - lists.offsets.to_numpy()[0]
+        return known.take(words.indices).flatten().to_numpy(), sums[ends]
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of these words, as bytes."""
+        stems = self.stems
+        if len(stems) > MOST_KEPT:
+            stems.clear()
+        out: list[bytes] = []
+        cut: list[tuple[int, bytes, bytes]] = []
+        simple, other = [], []
+        for w in words:
+            if (got := stems.get(w)) is not None:
+                out.append(got)
+                continue
+            stem = w.rstrip(_MARKS)
+            if stem.isalpha():  # ASCII letters only: case makes no difference
+                tail, stem = w[len(stem) :], stem.lower()
+                if stem not in stems:
+                    simple.append(stem)
+            elif _letters(stem):
+                tail = w[len(stem) :]
+                if stem not in stems:
+                    simple.append(stem)
+            else:
+                stem, tail = w, b""
+                other.append(w)
+            if tail and tail not in stems:
+                other.append(tail)
+            cut.append((len(out), stem, tail))
+            out.append(b"")
+        self._learn(list(dict.fromkeys(simple)), list(dict.fromkeys(other)))
+        for i, stem, tail in cut:
+            out[i] = stems[stem] + stems[tail] if tail else stems[stem]
+        return out
+
+    def _learn(self, simple: list[bytes], other: list[bytes]) -> None:
+        for b in range(0, len(simple), 2000):
+            part = simple[b : b + 2000]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part) or (len(ids) and ends[-1] != len(ids)):
+                other += part
+                continue
+            data, begin = ids.tobytes(), 0
+            for w, e in zip(part, (4 * ends).tolist()):
+                self.stems[w] = data[begin:e]
+                begin = e
+        for b in range(0, len(other), 10_000):
+            part = other[b : b + 10_000]
             got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            kept.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got))
-        return [b"".join([kept[w] for w in x]) for x in words]
+            self.stems.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got))
+
+
+def _letters(stem: bytes) -> bool:
+    """Whether the tokenizer takes a word as one run of letters: it is that, composed,
+    and stays so in lower case."""
+    if not stem:
+        return False
+    text = stem.decode()
+    return text.isalpha() and text.lower().isalpha() and unicodedata.is_normalized("NFC", text)
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str | None) -> Encoder:
+    """Made once in a worker, which also keeps what it has tokenized for its next task."""
+    return Encoder(path)
 
 
 def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_TOKENS, path: str | None = None) -> DataFrame:
@@ -81,11 +159,12 @@ def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     end = np.array([END], "<u4").tobytes()
 
     def each(batches):
-        encoder = Encoder(path)
-        for batch in slices(batches, "text", 1 << 20):
+        encoder = _encoder(path)
+        for batch in slices(batches, "text", 10 << 20):
             row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encoder.encode(raw(batch.column("text")))):
-                ids += end
+            values, ends = encoder.encode(batch.column("text"))
+            for i, (low, high) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+                ids = values[low:high].tobytes() + end
                 for k, b in enumerate(range(0, len(ids), 4 * most)):
                     part = ids[b : b + 4 * most]
                     for column, value in zip((row, piece, start, length, crc), (i, k, k * most, len(part) // 4, zlib.crc32(part))):
