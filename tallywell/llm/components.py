@@ -17,8 +17,8 @@ def _least_neighbour(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
-    """``edges`` has long columns u and v.  Returns one row (node, root) for each
-    node that has an edge to another node; root is the smallest node reachable.
+    """``edges`` has long columns u and v.  Returns one row (node, root) for each node
+    from which a smaller one can be reached; root is the smallest of those.
 
     Alternates the large-star and small-star steps (Kiveris et al., 2014).  Each
     hangs neighbours on the smallest one by an aggregate and an equi-join, so a
