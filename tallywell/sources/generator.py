@@ -8,7 +8,7 @@ made a partition at a time.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -99,16 +99,6 @@ class Markov:
     values: tuple
     transitions: tuple[tuple[float, ...], ...]
 
-    def made(self, n: int, seed: Sequence[int]) -> list:
-        rng = np.random.default_rng(seed)
-        sums = np.cumsum(np.array(self.transitions, float), axis=1)
-        sums /= sums[:, -1:]
-        state, out = int(rng.integers(len(self.values))), []
-        for u in rng.random(n):
-            state = min(int(np.searchsorted(sums[state], u, "right")), len(self.values) - 1)
-            out.append(self.values[state])
-        return out
-
 
 def int_markov_chain(values: Sequence[int], transitions: Sequence[Sequence[float]]) -> Markov:
     return Markov(tuple(values), tuple(map(tuple, transitions)))
@@ -127,10 +117,22 @@ def generate(spark: SparkSession, columns: Mapping[str, Generator | Markov], par
     if chains:
         kinds = {k: "long" if isinstance(g.values[0], int) else "string" for k, g in chains.items()}
 
-        def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plain = [(k, g.values, g.transitions) for k, g in chains.items()]
+
+        def chained(batches):  # uses nothing of this package, which executors may not have
             for batch in batches:
                 for p in batch["part"]:
-                    yield pd.DataFrame({"part": p, "row": np.arange(partition_size), **{k: g.made(partition_size, [seed, int(p), i]) for i, (k, g) in enumerate(chains.items())}})
+                    made = {"part": p, "row": np.arange(partition_size)}
+                    for i, (k, values, transitions) in enumerate(plain):
+                        rng = np.random.default_rng([seed, int(p), i])
+                        sums = np.cumsum(np.array(transitions, float), axis=1)
+                        sums /= sums[:, -1:]
+                        state, out = int(rng.integers(len(values))), []
+                        for u in rng.random(partition_size):
+                            state = min(int(np.searchsorted(sums[state], u, "right")), len(values) - 1)
+                            out.append(values[state])
+                        made[k] = out
+                    yield pd.DataFrame(made)
 
         schema = "part long, row long, " + ", ".join(f"{k} {v}" for k, v in kinds.items())
         base = spark.range(0, partitions, 1, partitions).toDF("part").mapInPandas(chained, schema)
