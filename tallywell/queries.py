@@ -117,6 +117,10 @@ QUERIES: dict[str, tuple[str, str]] = {
     "order_nulls_desc": ("SELECT line, l_orderkey FROM sparse ORDER BY line DESC, l_orderkey, l_linenumber LIMIT 50", f"SELECT CAST(line AS BIGINT) AS line, l_orderkey FROM {SPARSE_SQL} ORDER BY line DESC NULLS FIRST, l_orderkey, l_linenumber LIMIT 50"),
     "order_missing": ("SELECT n_name FROM nation ORDER BY nope, n_nationkey LIMIT 3", "SELECT n_name FROM nation ORDER BY n_nationkey LIMIT 3"),
     "order_all": ("SELECT o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_orderkey", "SELECT o_custkey, o_orderkey FROM orders"),
+    "order_multi_all": ("SELECT o_orderstatus, o_orderkey FROM orders ORDER BY o_orderstatus DESC, o_orderkey", "SELECT o_orderstatus, o_orderkey FROM orders ORDER BY o_orderstatus DESC, o_orderkey"),
+    "order_expr_all": ("SELECT o_orderkey FROM orders ORDER BY o_orderkey % 100, o_orderkey / 100", "SELECT o_orderkey FROM orders ORDER BY o_orderkey % 100, o_orderkey // 100"),
+    "order_nulls_asc_all": ("SELECT line, l_orderkey FROM sparse ORDER BY line, l_orderkey, l_linenumber", f"SELECT CAST(line AS BIGINT) AS line, l_orderkey FROM {SPARSE_SQL} ORDER BY line NULLS LAST, l_orderkey, l_linenumber"),
+    "order_nulls_desc_all": ("SELECT line, l_orderkey FROM sparse ORDER BY line DESC, l_orderkey, l_linenumber", f"SELECT CAST(line AS BIGINT) AS line, l_orderkey FROM {SPARSE_SQL} ORDER BY line DESC NULLS FIRST, l_orderkey, l_linenumber"),
     "topn": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100"),
     "limit_offset": ("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 95 ROWS", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 95"),
     "limit_zero": ("SELECT n_name FROM nation LIMIT 0", "SELECT n_name FROM nation LIMIT 0"),
