@@ -9,6 +9,8 @@ tasks that it was running.
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -91,6 +93,20 @@ class Workspace:
         jvm.System.gc()
 
 
+@functools.lru_cache(maxsize=1)
+def _trim():
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such function
+        return ctypes.CDLL(None).malloc_trim
+    return lambda _: 0
+
+
+def tidy() -> None:
+    """Give back to the system what a Python worker has freed: workers serve many tasks, and
+    allocators would keep the most that any of them needed."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def raw(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column; null becomes empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -9,37 +9,40 @@ candidates survive.  With width 13 the levels are 7 and 13; with 50 they are 7,
 The first level is sampled without loss: of the runs of 7 words in each window of
 the next length, the one with the least hash is its anchor, which equal windows
 have at the same place, and only anchors are exchanged.  At later levels the
-windows that survive are exchanged by their 64-bit hashes.  Of windows that
-are equal within what one task holds, those of the smallest document alone are
-sent and the others get their answer at once, so a passage that very many
-documents have costs one entry per task.
-
-Windows are equal if their 64-bit hashes and the bucket, drawn from other bits, are:
-for a billion windows the chance of any false match is below three in a hundred.
+windows that survive are exchanged as contexts: the words of consecutive windows with
+one anchor, dealt by the anchor's hash.  Contexts that are equal within what one task
+holds are sent for the smallest document alone and the others get their answer at
+once, so a passage that very many documents have costs one entry per task.  Where very
+many documents have an anchor, whatever stands around it, its windows are dealt one by one.
+
+Hashes only decide where windows meet: there their words are compared (matching.smaller),
+so results are exact.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .blocks import ANSWER, BLOCK, ENTRIES, deal, first_least, mixed, pack, runs, unpack
+from .blocks import ANSWER, ENTRIES, HOT, deal, first_least, mixed, pack, unpack
 from .common import Workspace, raw
+from .matching import multikey_sort, smaller, spread, stretches
 
 #: Words of a window, and of the first level's runs.
 WIDTH, FIRST = 13, 7
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_TABLE = np.random.default_rng(13).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _MODULUS = 1 << 64
-_BYTE, _WORD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_WORD = 0xC2B2AE3D27D4EB4F
+_SHORT_MASK = np.uint64((1 << blocks.SHORT) - 1)
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,39 +62,57 @@ def _run_hashes(items: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int
     return mixed((sums[end] - sums[begin]) * down[begin])
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word, and its text's number."""
-    buf = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    inside = np.concatenate([[0], (~_SPACE[buf]).view(np.int8), [0]])
-    edge = np.diff(inside)
-    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    starts = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-    return _run_hashes(_TABLE[buf], begin, end, _BYTE), np.searchsorted(starts, begin, "right")
-
-
-def windows(h: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of ``width`` words, and where they start (those that
-    would leave their text are left out of the second)."""
-    n = max(0, len(h) - width + 1)
-    at = np.arange(n)
-    got = _run_hashes(h, at, at + width, _WORD + 2 * width)
-    return got, np.flatnonzero(doc[:n] == doc[width - 1 :]) if n else at
-
-
-def anchors(texts: list[bytes], first: int, width: int) -> tuple[np.ndarray, ...]:
-    """(text's number, key, first and last start of the windows of ``width`` words with
-    this anchor); then all words' hashes and texts.  Starts count the words of all texts."""
-    h, doc = words(texts)
-    got, _ = windows(h, doc, first)
-    _, p = windows(h, doc, width)
-    none = np.zeros(0, np.int64)
-    if not len(p):
-        return none, none.astype(np.uint64), none, none, h, doc
-    a = first_least((got >> np.uint64(32)).astype(np.uint32), width - first + 1)[p].astype(np.int64)
-    begins = runs(a)
-    ends = np.concatenate([begins[1:], [len(p)]]) - 1
-    a = a[begins]
-    return doc[a], got[a], p[begins], p[ends], h, doc
+def hashed(words: list[bytes]) -> np.ndarray:
+    """XXH64 of each word; what words are equal is decided elsewhere."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    known = pa.array(words, pa.binary()).dictionary_encode()
+    return np.fromiter(map(xxhash.xxh64_intdigest, known.dictionary.to_pylist()), np.uint64, len(known.dictionary))[known.indices.to_numpy()]
+
+
+class Words:
+    """The words of some texts, one after the other, and their windows of ``length`` words: where
+    each starts (``start``), its anchor of ``first`` words (``anchor``) and the anchor's hash."""
+
+    def __init__(self, texts: list[bytes], first: int, length: int, bits: int = 64):
+        parts = [t.split() for t in texts]  # on bytes: exactly at \x20 and \x09-\x0D
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.words = list(chain.from_iterable(parts))
+        self.doc = np.repeat(np.arange(len(parts)), counts)
+        #: Of each text, its first word.
+        self.begin = np.cumsum(counts) - counts
+        n = max(0, len(self.words) - length + 1)
+        self.start = np.flatnonzero(self.doc[:n] == self.doc[length - 1 :]) if n else np.zeros(0, np.int64)
+        self.anchor, self.key = self.start, np.zeros(0, np.uint64)
+        if len(self.start):
+            at = np.arange(len(self.words) - first + 1)
+            h = _run_hashes(hashed(self.words), at, at + first, _WORD + 2 * first) & np.uint64((1 << bits) - 1)
+            self.anchor = first_least((h >> np.uint64(32)).astype(np.uint32), length - first + 1)[self.start].astype(np.int64)
+            self.key = h[self.anchor]
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """(text's number, key) of each anchor."""
+        new = np.ones(len(self.start), bool)
+        new[1:] = self.anchor[1:] != self.anchor[:-1]
+        return self.doc[self.anchor[new]], self.key[new]
+
+    def contexts(self, kept: np.ndarray, length: int) -> tuple:
+        """Of the windows that are kept, consecutive ones with one anchor: (text's number, key,
+        anchor's place in its text, least and greatest number of words that a window begins before
+        it, the words of all of them joined by spaces)."""
+        p, a = self.start[kept], self.anchor[kept]
+        if not len(p):
+            return p, self.key[:0], p, p, p, []
+        new = np.ones(len(p), bool)
+        new[1:] = (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1)
+        begins = np.flatnonzero(new)
+        last = np.append(begins[1:], len(p)) - 1
+        p1, p2, a = p[begins], p[last], a[begins]
+        ends = np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1)
+        joined = b" ".join(self.words)
+        low, high = np.concatenate([[0], ends])[p1], ends[p2 + length - 1] - 1
+        doc = self.doc[a]
+        return doc, self.key[kept][begins], a - self.begin[doc], a - p2, a - p1, [joined[x:y] for x, y in zip(low.tolist(), high.tolist())]
 
 
 def levels(width: int, first: int) -> list[int]:
@@ -101,154 +122,173 @@ def levels(width: int, first: int) -> list[int]:
     return out
 
 
-def _spread(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """begin, begin + 1, ... for each of the ranges."""
-    return np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
-
-
-def _extend(length: int, before: int, sampled: bool, first: int, doc_buckets: int, key_buckets: int):
+def _extend(length: int, before: int, sampled: bool, last: bool, first: int, hot: np.ndarray, key_buckets: int, bits: int):
     """For a bucket of documents: the entries of its windows of ``length`` words of
     which the parts of ``before`` words survive."""
 
-    def each(table: pa.Table) -> pa.Table:
-        rid, ids, texts, answers = blocks.opened(table)
-        if not answers:
-            return pa.Table.from_batches([blocks.blocks([])])
-        rank = np.argsort(rid)
-        place = np.empty(len(rid), np.int64)
-        place[rank] = np.arange(len(rid))
-        known = []
-        for data in answers:
-            r, at, *rest = unpack(data)
-            of = np.searchsorted(rid[rank], r)[np.cumsum(at, dtype=np.int64)].astype(np.uint64) << np.uint64(blocks.SHORT)
+    def each(bucket, pairs):
+        docs = blocks.opened(pairs, by_rid=sampled)
+        if not docs.answers:
+            return []
+        if sampled:
+            known = np.unique(np.concatenate([blocks.lengthen(a[1]) for a in docs.answers]))
+        else:
+            parts = []
+            for doc, at, begin, n in docs.answers:
+                n = n.astype(np.int64)
+                of = doc[np.cumsum(at, dtype=np.int64)].astype(np.uint64) << np.uint64(blocks.SHORT)
+                parts.append(np.repeat(of, n) | spread(begin.astype(np.int64), n).astype(np.uint64))
+            known = np.unique(np.concatenate(parts))
+
+        def survives(what: np.ndarray) -> np.ndarray:
+            return known[np.minimum(np.searchsorted(known, what), len(known) - 1)] == what
+
+        parts, texts = [], []
+        for places, got in docs.wanted():
+            w = Words(got, first, length, bits)
             if sampled:
-                known.append(of | blocks.lengthen(rest[0]))
+                kept = survives(w.key & _SHORT_MASK)
             else:
-                begin, n = (x.astype(np.int64) for x in rest)
-                known.append(np.repeat(of, n) | _spread(begin, n).astype(np.uint64))
-        known = np.unique(np.concatenate(known))
+                doc = w.doc[w.start]
+                own = (places[doc].astype(np.uint64) << np.uint64(blocks.SHORT)) | (w.start - w.begin[doc]).astype(np.uint64)
+                kept = survives(own) & survives(own + np.uint64(length - before))
+            doc, *rest, context = w.contexts(kept, length)
+            parts.append((places[doc], *rest))
+            texts += context
+        if not texts:
+            return []
+        doc, key, at, near, far = (np.concatenate(x) for x in zip(*parts))
+        out = [docs.who(bucket)]
+        ids = docs.ids[doc]
+        code, least, most = _alike(texts, ids, ids)
+        done = np.flatnonzero(ids > least[code] if last else most[code] > least[code])
+        if len(done):
+            out.append((bucket, ANSWER, blocks.ranges_block(doc[done], at[done] - far[done], at[done] - near[done] + 1)))
+        keep = np.flatnonzero(ids == least[code])
+        often = keep[np.isin(key[keep] & _SHORT_MASK, hot)]
+        rows = [(doc[i], key[i], at[i], near[i], far[i], most[code[i]], texts[i]) for i in np.setdiff1d(keep, often).tolist()] if len(often) else None
+        if rows is None:
+            return out + _sent(bucket, docs.ids, doc[keep], key[keep], at[keep], near[keep], far[keep], most[code[keep]], [texts[i] for i in keep.tolist()], key_buckets)
+        for i in often.tolist():  # each window by itself is a context that begins at its anchor
+            words = texts[i].split(b" ")
+            for j in range(far[i] - near[i] + 1):
+                window = b" ".join(words[j : j + length])
+                rows.append((doc[i], np.uint64(xxhash.xxh64_intdigest(window)), at[i] - far[i] + j, 0, 0, most[code[i]], window))
+        *columns, texts = zip(*rows)
+        return out + _sent(bucket, docs.ids, *map(np.array, columns), list(texts), key_buckets)
 
-        def survives(doc: np.ndarray, what: np.ndarray) -> np.ndarray:
-            mine = (place[doc].astype(np.uint64) << np.uint64(blocks.SHORT)) | what
-            return known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine
+    return each
 
-        keys, docs, starts = [], [], []
-        for b, e in blocks.chunks(texts):
-            if sampled:
-                doc, key, p1, p2, h, of = anchors(texts[b:e], first, length)
-                k = survives(doc + b, key & np.uint64((1 << blocks.SHORT) - 1))
-                p = _spread(p1[k], (p2 - p1 + 1)[k])
-            else:
-                h, of = words(texts[b:e])
-                _, p = windows(h, of, length)
-            got, _ = windows(h, of, length)
-            own = p - np.searchsorted(of, of[p]) if len(p) else p
-            if not sampled:
-                d = of[p] + b
-                k = survives(d, own.astype(np.uint64)) & survives(d, (own + (length - before)).astype(np.uint64))
-                p, own = p[k], own[k]
-            keys.append(got[p])
-            docs.append(of[p] + b)
-            starts.append(own)
-        key, doc, start = map(np.concatenate, (keys, docs, starts))
-        return pa.Table.from_batches([blocks.blocks(_sent(rid, ids, key, doc, start, doc_buckets, key_buckets))])
 
-    return each
+def _alike(contexts: list[bytes], least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each context, equal for equal ones, and the least and the greatest id by number."""
+    code = pa.array(contexts, pa.binary()).dictionary_encode().indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    begins = blocks.runs(code[order])
+    return code, np.minimum.reduceat(least[order], begins), np.maximum.reduceat(most[order], begins)
 
 
-def _sent(rid, ids, key, doc, start, doc_buckets: int, key_buckets: int) -> list[tuple[int, int, bytes]]:
-    """Entries of the smallest document of each key, and the answers of the others."""
-    if not len(key):
-        return []
-    order = np.argsort(key, kind="stable")
-    key, doc, start = key[order], doc[order], start[order]
-    begins = runs(key)
-    lengths = np.diff(begins, append=len(key))
-    own = ids[doc]
-    least = np.minimum.reduceat(own, begins)
-    several = np.repeat(np.maximum.reduceat(own, begins) > least, lengths)
-    later = own > np.repeat(least, lengths)
+def _sent(home: int, all_ids: np.ndarray, doc, key, at, near, far, most, contexts: list[bytes], key_buckets: int) -> list[tuple[int, int, bytes]]:
     out = []
-    to = int(blocks.document_bucket(rid[:1], doc_buckets)[0])
-    if later.any():
-        out.append((to, ANSWER, _ranges(rid, doc[later], start[later])))
-    key, doc, start, several = key[~later], doc[~later], start[~later], several[~later]
     for b, i in deal((mixed(key ^ np.uint64(_WORD)) % np.uint64(key_buckets)).astype(np.int32)):
-        i = i[np.lexsort((start[i], doc[i]))]
-        used, at = np.unique(doc[i], return_inverse=True)
-        out.append((b, ENTRIES, pack(rid[used], ids[used], blocks.small(at.astype(np.uint32)), key[i], start[i].astype(np.uint32), np.packbits(several[i]))))
+        used, of = np.unique(doc[i], return_inverse=True)
+        held = [contexts[j] for j in i.tolist()]
+        sizes = np.fromiter(map(len, held), np.uint32, len(held))
+        numbers = of.astype(np.uint32), at[i].astype(np.uint32), near[i].astype(np.uint16), far[i].astype(np.uint16), most[i] - all_ids[doc[i]]
+        out.append((b, ENTRIES, pack(home, used.astype(np.uint32), all_ids[used], *numbers, sizes, b"".join(held))))
     return out
 
 
-def _ranges(rid: np.ndarray, doc: np.ndarray, start: np.ndarray) -> bytes:
-    """An answer for window starts, neighbours joined."""
-    i = np.lexsort((start, doc))
-    doc, start = doc[i], start[i]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
-    begins = np.flatnonzero(new)
-    last = np.concatenate([begins[1:], [len(doc)]]) - 1
-    return blocks.ranges_block(rid, doc[begins], start[begins], start[last] + 1)
-
-
-def _meet(doc_buckets: int, all_documents: bool):
-    """For a bucket of keys: the starts of windows that a smaller document has, or of
+def _meet(length: int, first: int, last: bool):
+    """For a bucket of contexts: the starts of windows that a smaller document has, or of
     those that any other has."""
 
-    def each(table: pa.Table) -> pa.Table:
-        out, parts = [], []
-        for bucket, kind, data in zip(*(table[c].to_pylist() for c in ("bucket", "kind", "data"))):
-            if kind == ANSWER:
-                out.append((bucket, ANSWER, data))
+    def each(bucket, pairs):
+        out, parts, sizes, data = [], [], [], []
+        for kind, block in pairs:
+            if kind != ENTRIES:
+                out.append((bucket, kind, bytes(block)))
                 continue
-            rid, ids, at, key, start, several = unpack(data)
-            at = np.cumsum(at, dtype=np.int64)
-            parts.append((rid[at], ids[at], key, start, np.unpackbits(several, count=len(at)).astype(bool)))
-        if parts:
-            rid, ids, key, start, several = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(key, kind="stable")
-            rid, ids, key, start, several = (x[order] for x in (rid, ids, key, start, several))
-            begins = runs(key)
-            lengths = np.diff(begins, append=len(key))
-            least = np.minimum.reduceat(ids, begins)
-            if all_documents:
-                hit = np.repeat((np.maximum.reduceat(ids, begins) > least) | np.logical_or.reduceat(several, begins), lengths)
-            else:
-                hit = ids > np.repeat(least, lengths)
-            rid, start = rid[hit], start[hit].astype(np.int64)
-            for b, i in deal(blocks.document_bucket(rid, doc_buckets)):
-                used, at = np.unique(rid[i], return_inverse=True)
-                out.append((b, ANSWER, _ranges(used, at, start[i])))
-        return pa.Table.from_batches([blocks.blocks(out)])
+            home, used, ids, of, at, near, far, more, size, joined = unpack(block)
+            parts.append((np.full(len(of), home, np.int32), used[of], ids[of], at.astype(np.int64), near.astype(np.int64), far.astype(np.int64), ids[of] + more))
+            sizes.append(size)
+            data.append(joined)
+        if not parts:
+            return out
+        home, doc, ids, at, near, far, most = (np.concatenate(x) for x in zip(*parts))
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
+        contexts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(data))])
+        del parts, data
+        known = contexts.dictionary_encode()
+        code = known.indices.to_numpy()
+        some = np.zeros(len(known.dictionary), np.int64)
+        some[code] = np.arange(len(code))  # a row of each distinct context
+        words = pc.split_pattern(known.dictionary, b" ")
+        begin = words.offsets.to_numpy().astype(np.int64)
+        number = words.flatten().dictionary_encode().indices.to_numpy() + 1
+        forward = _matrix(number, begin[:-1] + far[some], begin[1:], np.arange(length))
+        backward = _matrix(number, begin[:-1] + far[some], begin[:-1], -1 - np.arange(length - first))
+        order, _ = multikey_sort(np.hstack([forward, backward]))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        of = rank[code]
+        low, high = near[some][order], far[some][order]
+        by = np.argsort(of, kind="stable")
+        begins = blocks.runs(of[by])
+        least, greatest = np.minimum.reduceat(ids[by], begins), np.maximum.reduceat(most[by], begins)
+        later, other = smaller(forward[order], backward[order], length, low, high, least, greatest, first)
+        offsets = np.arange(length - first + 1)
+        marks = (later if last else other) & (low[:, None] <= offsets) & (offsets <= high[:, None])
+        got = []
+        if last:  # all windows of contexts that a smaller document has too
+            i = np.flatnonzero(ids > least[of])
+            got.append((home[i], doc[i], at[i] - far[i], at[i] - near[i] + 1))
+            by = by[ids[by] == least[of[by]]]
+        first_of = np.searchsorted(of[by], np.arange(len(order) + 1))
+        c, o1, o2 = stretches(marks)
+        n = np.diff(first_of)[c]
+        row = by[spread(first_of[c], n)]
+        got.append((home[row], doc[row], at[row] - np.repeat(o2, n) + 1, at[row] - np.repeat(o1, n) + 1))
+        return out + blocks.range_answers(*(np.concatenate(x) for x in zip(*got)))
 
     return each
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, first: int = FIRST) -> DataFrame:
-    """(rid, begins, ends): for each document with any, the merged half-open spans of
-    words covered by windows of ``width`` words that also start in a document with a
-    smaller id.  rid is ``blocks.prepared``'s.
+def _matrix(number: np.ndarray, at: np.ndarray, limit: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The numbers at these steps from each place; 0 from the limit on."""
+    where = at[:, None] + steps
+    inside = where < limit[:, None] if steps[0] == 0 else where >= limit[:, None]
+    return np.where(inside, number[np.clip(where, 0, len(number) - 1)], 0).astype(np.int32)
+
+
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, first: int = FIRST, bits: int = 64) -> DataFrame:
+    """(rid, doc_id, check, begins, ends): for each document with any, the merged half-open spans
+    of words covered by windows of ``width`` words that also start in a document with a
+    smaller id.  The first three are ``blocks.prepared``'s.
 
     Words are runs of anything but \\x20 and \\x09-\\x0D, taken as they are.  A null text
     has none.  Rows without an id neither lose words nor cost others any; rows with
     equal ids lose none to each other.  Texts of fewer than ``width`` words lose
-    nothing.  No rows give no rows.
+    nothing.  No rows give no rows.  ``bits`` are used of anchors' hashes; fewer make more
+    work and the same result.
     """
     work = Workspace(docs.sparkSession, "substring")
     rows = blocks.prepared(docs, id_col, text_col)
     size = blocks.total_bytes(rows)
-    doc_buckets, key_buckets = blocks.buckets_for(size, 6 << 20), blocks.buckets_for(size, 12 << 20)
-    _, *longer = levels(width, min(first, width - 1))
+    doc_buckets, key_buckets, context_buckets = (blocks.buckets_for(size, n << 20) for n in (6, 12, 6))
     start = min(first, width - 1)
-    entries = blocks.anchor_entries(rows, lambda t: anchors(t, start, longer[0])[:2], doc_buckets, key_buckets)
-    answers = work.save(blocks.shared_anchors(entries, doc_buckets), f"level{start}")
+    _, *longer = levels(width, start)
+    entries = blocks.anchor_entries(rows, lambda t: Words(t, start, longer[0], bits).anchors(), doc_buckets, key_buckets)
+    answers = work.save(blocks.shared_anchors(entries, doc_buckets, blocks.HOT_DOCUMENTS), f"level{start}")
     work.drop()
+    hot = blocks.hot_keys(answers)
+    answers = answers.where(F.col("kind") != HOT)
     before, old = start, f"level{start}"
     for length in longer:
         last = length == width
-        extend = _extend(length, before, before == start, start, doc_buckets, key_buckets)
-        grown = blocks.text_blocks(rows, doc_buckets).union(answers).groupBy("bucket").applyInArrow(extend, BLOCK)
-        answers = work.save(grown.groupBy("bucket").applyInArrow(_meet(doc_buckets, not last), BLOCK), f"level{length}")
+        extend = _extend(length, before, before == start, last, start, hot, context_buckets, bits)
+        grown = blocks.by_bucket(blocks.text_blocks(rows, doc_buckets).union(answers), extend)
+        answers = work.save(blocks.by_bucket(grown, _meet(length, start, last)), f"level{length}")
         work.drop(old)
         before, old = length, f"level{length}"
         if answers.isEmpty():
@@ -265,7 +305,7 @@ def kept_words(text: bytes, begins, ends) -> list[bytes]:
     return out
 
 
-def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bits: int = 64) -> DataFrame:
     """A row (doc_id, n_words, n_removed, kept_sha256) for each row of ``docs``."""
 
     def each(batches):
@@ -280,9 +320,7 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = repeated_spans(rows, width=width)
-    rid = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("rid", rid).join(found.hint("shuffle_hash"), "rid", "left").select("doc_id", "text", "begins", "ends")
+    rows = blocks.with_spans(rows, repeated_spans(rows, width=width, bits=bits), "doc_id", "text").select("doc_id", "text", "_begins", "_ends")
     return rows.mapInArrow(each, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -294,9 +332,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def cut(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or b is None else b" ".join(kept_words(t.encode(), list(b), list(e))).decode() for t, b, e in zip(text, begins, ends)], dtype=object)
 
-    found = repeated_spans(docs, id_col=id_col, text_col=text_col, width=width).withColumnsRenamed({"rid": "_rid", "begins": "_begins", "ends": "_ends"})
-    rid = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
-    out = docs.withColumn("_rid", rid).join(found.hint("shuffle_hash"), "_rid", "left")
+    out = blocks.with_spans(docs, repeated_spans(docs, id_col=id_col, text_col=text_col, width=width), id_col, text_col)
     return out.withColumn(text_col, cut(text_col, "_begins", "_ends")).select(*docs.columns)
 
 

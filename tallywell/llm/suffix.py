@@ -6,23 +6,21 @@ text some fifty times, so only suffixes at anchors are sorted: of the substrings
 of ``gram`` bytes inside each window of ``width`` bytes the one with the least
 hash, which equal windows have at equal offsets.  The steps:
 
-1. Anchors whose gram no other document has are dropped (blocks.shared_anchors).
+1. Anchors whose gram no other document has are dropped (blocks.shared_anchors).  This
+   loses nothing: a false match of hashes there costs work only.
 2. Each remaining anchor's suffix, as far as a window reaches, goes with the bytes
-   before it to a bucket by its leading token (16 bytes): the buckets are ranges
-   between splitters taken from a bounded sample.  Of equal suffixes with equal
-   bytes before them, one task sends those of its smallest document only, and
-   marks the others at once, so a passage in very many documents stays small.
-   A token so common that it fills whole ranges of the sample would not fit in a
-   bucket: the windows around its anchors are dealt by their own hashes instead,
-   and so are compared across the boundaries that would cut the token's suffixes.
-3. A bucket sorts its suffixes by multikey quicksort, 8 bytes a step, and compares
-   neighbours: equal ones take the smallest id; those that share the gram compare
-   their windows offset by offset, by hash first and then by bytes.
-   Splitters are compared as whole leading tokens and matches share more than
-   those (gram > 16), so no other run of matching suffixes crosses a boundary.
-
-Results are exact, whatever the sample; only windows around anchors of such common
-tokens are compared by 64-bit hashes alone, in buckets drawn from other bits.
+   before it to a range of suffixes.  The ranges lie between splitters, leading tokens of 16
+   bytes from a bounded sample; a token that fills whole ranges is split by longer ones.
+   Of equal suffixes with equal bytes before them, one task sends those of its smallest
+   document only, and marks the others at once, so a passage in very many documents
+   stays small.
+3. A range sorts its suffixes by multikey quicksort, 8 bytes a step, and takes the longest
+   common prefixes of neighbours, likewise for the bytes before them: these tell which
+   windows are equal (matching.smaller), and all but the smallest document's are marked.
+4. Across the ends of ranges: windows whose suffix shares enough bytes with a splitter to
+   have an equal beyond it are dealt out once more, by themselves, and compared.
+
+Bytes are compared throughout, so results are exact, whatever the sample and the hashes.
 """
 
 from __future__ import annotations
@@ -36,13 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .blocks import ANSWER, BLOCK, ENTRIES, deal, first_least, mixed, pack, runs, unpack
+from .blocks import ANSWER, ENTRIES, WINDOWS, deal, first_least, mixed, pack, runs, unpack
 from .common import Workspace, raw, slices
+from .matching import big_endian, multikey_sort, smaller, spread, stretches
 
 #: Bytes of a window, of the gram that anchors it, and of the leading token.
 WIDTH, GRAM, LEAD = 50, 20, 16
-#: The kind of blocks that hold windows around anchors of common tokens.
-WINDOWS = 3
 BEFORE, CONTEXT = WIDTH - GRAM, 2 * WIDTH - GRAM
 #: About so many documents give the splitters.
 SAMPLE_ROWS = 2000
@@ -69,7 +66,7 @@ def _grams(buf: np.ndarray) -> np.ndarray:
     return mixed(h)
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+def anchors(texts: list[bytes], bits: int = 64) -> tuple[np.ndarray, ...]:
     """(text's number, key, position, first and last start of the windows that have
     this anchor), positions being in the joined texts; then the joined bytes and
     where each text begins in them."""
@@ -79,7 +76,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if len(buf) < WIDTH:
         return none, none.astype(np.uint64), none, none, none, buf, starts
-    h = _grams(buf)
+    h = _grams(buf) & np.uint64((1 << bits) - 1)
     at = first_least((h >> np.uint64(32)).astype(np.uint32), BEFORE + 1)
     ok = np.zeros(len(at) + 1, np.int8)  # +1 where a text's windows begin, -1 after them
     fits = lengths >= WIDTH
@@ -94,29 +91,6 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return doc, h[a], a, p[begins], p[ends], buf, starts
 
 
-def multikey_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of rows of big-endian words, and where in it a new row begins.  One
-    word at a time is compared, and only among rows that are equal so far."""
-    n, width = words.shape
-    order = np.argsort(words[:, 0], kind="stable")
-    first = words[order, 0]
-    new = np.ones(n, bool)
-    new[1:] = first[1:] != first[:-1]
-    for d in range(1, width):
-        tied = ~new
-        tied[:-1] |= ~new[1:]
-        t = np.flatnonzero(tied)
-        if not len(t):
-            break
-        group = np.cumsum(new)[t]
-        sub = order[t]
-        sub = sub[np.lexsort((words[sub, d], group))]
-        order[t] = sub
-        w = words[sub, d]
-        new[t[1:][w[1:] != w[:-1]]] = True
-    return order, new
-
-
 def _words(context: np.ndarray, edge: np.ndarray) -> np.ndarray:
     """Sort keys: the suffix, the bytes before it from the last to the first, and how
     much of either the document has."""
@@ -136,217 +110,159 @@ def _suffixes(buf: np.ndarray, a: np.ndarray, low: np.ndarray, high: np.ndarray)
     return out, (before * 64 + after).astype(np.uint16)
 
 
-def _cut(splitters: np.ndarray, common: np.ndarray, doc_buckets: int, ranges: int):
+def _cut(cuts: np.ndarray, bits: int):
     """For a bucket of documents: entries for the suffix ranges, and what is decided here."""
 
-    def each(table: pa.Table) -> pa.Table:
-        rid, ids, texts, answers = blocks.opened(table)
-        if not answers:
-            return pa.Table.from_batches([blocks.blocks([])])
-        rank = np.argsort(rid)
-        known = []
-        for data in answers:
-            r, at, short = unpack(data)
-            of = np.searchsorted(rid[rank], r)[np.cumsum(at, dtype=np.int64)]
-            known.append((of.astype(np.uint64) << np.uint64(blocks.SHORT)) | blocks.lengthen(short))
-        known = np.unique(np.concatenate(known))
-        place = np.empty(len(rid), np.uint64)
-        place[rank] = np.arange(len(rid), dtype=np.uint64)
+    def each(bucket, pairs):
+        docs = blocks.opened(pairs, by_rid=True)
+        if not docs.answers:
+            return []
+        known = np.unique(np.concatenate([blocks.lengthen(a[1]) for a in docs.answers]))
         parts = []
-        for b, e in blocks.chunks(texts):
-            doc, key, a, p1, p2, buf, starts = anchors(texts[b:e])
-            mine = (place[doc + b] << np.uint64(blocks.SHORT)) | (key & _SHORT_MASK)
-            i = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-            k = np.flatnonzero(known[i] == mine)
+        for places, texts in docs.wanted():
+            doc, key, a, p1, p2, buf, starts = anchors(texts, bits)
+            key &= _SHORT_MASK
+            k = np.flatnonzero(known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key)
             doc, a, p1, p2 = doc[k], a[k], p1[k], p2[k]
             context, edge = _suffixes(buf, a, starts[doc], starts[doc + 1])
-            parts.append((context, edge, doc + b, a - starts[doc], (a - p2).astype(np.uint8), (a - p1).astype(np.uint8)))
+            parts.append((context, edge, places[doc], (a - starts[doc]).astype(np.uint32), (a - p2).astype(np.uint8), (a - p1).astype(np.uint8)))
+        if not sum(len(x[0]) for x in parts):
+            return []
         context, edge, doc, pos, near, far = (np.concatenate(x) for x in zip(*parts))
-        if not len(doc):
-            return pa.Table.from_batches([blocks.blocks([])])
+        del parts
+        ids = docs.ids[doc]
         order, new = multikey_sort(_words(context, edge))
-        context, edge, doc, pos, near, far = (x[order] for x in (context, edge, doc, pos, near, far))
         begins = np.flatnonzero(new)
-        least = np.repeat(np.minimum.reduceat(ids[doc], begins), np.diff(begins, append=len(doc)))
-        later = np.flatnonzero(ids[doc] > least)
-        out = []
+        least = np.empty(len(doc), np.int64)
+        least[order] = np.repeat(np.minimum.reduceat(ids[order], begins), np.diff(begins, append=len(doc)))
+        out = [docs.who(bucket)]
+        later = np.flatnonzero(ids > least)
         if len(later):
-            to = int(blocks.document_bucket(rid[:1], doc_buckets)[0])
-            out.append((to, ANSWER, blocks.ranges_block(rid, doc[later], pos[later] - far[later], pos[later] - near[later] + 1)))
-        keep = np.flatnonzero(ids[doc] == least)
-        lead = np.ascontiguousarray(context[keep, :LEAD]).view(f"S{LEAD}").ravel()
-        if len(common):
-            often = np.isin(lead, common)
-            i = keep[often]
-            out += _windows(rid, ids, context[i], doc[i], pos[i], near[i], far[i], doc_buckets, ranges)
-            keep, lead = keep[~often], lead[~often]
-        for to, i in deal(np.searchsorted(splitters, lead, "right").astype(np.int32)):
+            at = pos[later].astype(np.int64)
+            out.append((bucket, ANSWER, blocks.ranges_block(doc[later], at - far[later], at - near[later] + 1)))
+        keep = order[ids[order] == least[order]]
+        lead = np.ascontiguousarray(context[keep, :WIDTH]).view(f"S{WIDTH}").ravel()
+        for to, i in deal(np.searchsorted(cuts, lead, "right").astype(np.int32)):
             i = keep[i]
             used, at = np.unique(doc[i], return_inverse=True)
-            out.append((to, ENTRIES, pack(rid[used], ids[used], at.astype(np.uint32), context[i], edge[i], pos[i].astype(np.uint32), near[i], far[i])))
-        return pa.Table.from_batches([blocks.blocks(out)])
+            out.append((to, ENTRIES, pack(bucket, used.astype(np.uint32), docs.ids[used], at.astype(np.uint32), context[i], edge[i], pos[i], near[i], far[i])))
+        return out
 
     return each
 
 
-def _windows(rid, ids, context, doc, pos, near, far, doc_buckets: int, ranges: int) -> list[tuple[int, int, bytes]]:
-    """Each window around these anchors by itself, to the bucket of its hash.  Of equal
-    windows here the smallest document's are sent, and the others have their answer."""
-    if not len(doc):
-        return []
-    h = _window_hashes(context)
-    keys, docs, starts = [], [], []
-    for o in range(BEFORE + 1):
-        mine = np.flatnonzero((near <= o) & (o <= far))
-        s = BEFORE - o
-        keys.append(mixed(h[s + WIDTH, mine] - h[s, mine] * _POWERS[WIDTH]))
-        docs.append(doc[mine])
-        starts.append(pos[mine].astype(np.int64) - o)
-    key, doc, start = map(np.concatenate, (keys, docs, starts))
-    order = np.argsort(key, kind="stable")
-    key, doc, start = key[order], doc[order], start[order]
-    begins = runs(key)
-    least = np.repeat(np.minimum.reduceat(ids[doc], begins), np.diff(begins, append=len(key)))
-    later = ids[doc] > least
-    out = []
-    if later.any():
-        to = int(blocks.document_bucket(rid[:1], doc_buckets)[0])
-        out.append((to, ANSWER, blocks.ranges_block(rid, doc[later], start[later], start[later] + 1)))
-    key, doc, start = key[~later], doc[~later], start[~later]
-    for to, i in deal((mixed(key ^ _STEP) % np.uint64(ranges)).astype(np.int32)):
-        i = i[np.lexsort((start[i], doc[i]))]
-        used, at = np.unique(doc[i], return_inverse=True)
-        out.append((to, WINDOWS, pack(rid[used], ids[used], blocks.small(at.astype(np.uint32)), key[i], start[i].astype(np.uint32))))
-    return out
-
+def _opened(pairs, kind: int, out: list) -> list[np.ndarray]:
+    """The columns home, document and id, and what else blocks of this kind hold; the other blocks
+    go to ``out``."""
+    parts = []
+    for bucket, got, data in pairs:
+        if got != kind:
+            out.append((bucket, got, bytes(data)))
+            continue
+        home, used, ids, at, *rest = unpack(data)
+        parts.append((np.full(len(at), home, np.int32), used[at], ids[at], *rest))
+    return [np.concatenate(x) for x in zip(*parts)]
+
+
+def _touching(forward: np.ndarray, cuts: np.ndarray, bucket: int) -> np.ndarray:
+    """How many bytes each suffix has in common with the nearer end of its range: it can share
+    no more with any suffix beyond."""
+    most = np.zeros(len(forward), np.int64)
+    for end in (bucket - 1, bucket):
+        if 0 <= end < len(cuts):
+            edge = np.frombuffer(bytes(cuts[end]).ljust(WIDTH, b"\0"), np.uint8)
+            differ = forward != edge
+            most = np.maximum(most, np.where(differ.any(axis=1), differ.argmax(axis=1), WIDTH))
+    return most
+
+
+def _compare(cuts: np.ndarray, ranges: int):
+    """For a range of suffixes: the ranges of window starts that smaller documents have, and
+    the windows that may have an equal one beyond the ends of the range."""
+
+    def each(bucket, pairs):
+        out: list[tuple[int, int, bytes]] = []
+        columns = _opened(((bucket, k, d) for k, d in pairs), ENTRIES, out)
+        if not columns:
+            return out
+        home, doc, ids, context, edge, pos, near, far = columns
+        del columns
+        order, new = multikey_sort(_words(context, edge))
+        home, doc, ids, context, pos, near, far = (x[order] for x in (home, doc, ids, context, pos, near, far))
+        pos = pos.astype(np.int64)
+        begins = np.flatnonzero(new)
+        lengths = np.diff(begins, append=len(ids))
+        least = np.minimum.reduceat(ids, begins)
+        of = np.repeat(np.arange(len(begins)), lengths)
+        context = context[begins]
+        forward, backward = context[:, :WIDTH], context[:, WIDTH:]
+        low, high = near[begins].astype(np.int64), far[begins].astype(np.int64)
+        marks, _ = smaller(forward, backward, WIDTH, low, high, least, least, GRAM)
+        later = np.flatnonzero(ids > least[of])
+        got = [(home[later], doc[later], pos[later] - far[later], pos[later] - near[later] + 1)]
+        firsts = np.flatnonzero(ids == least[of])  # the places of each context in its least document
+        first_of = np.searchsorted(of[firsts], np.arange(len(begins) + 1))
+        c, o1, o2 = stretches(marks)
+        n = np.diff(first_of)[c]
+        row = firsts[spread(first_of[c], n)]
+        got.append((home[row], doc[row], pos[row] - np.repeat(o2, n) + 1, pos[row] - np.repeat(o1, n) + 1))
+        out += blocks.range_answers(*(np.concatenate(x) for x in zip(*got)))
+        touch = _touching(forward, cuts, bucket)
+        held, size = [], 0
+        for o in range(BEFORE + 1):
+            c = np.flatnonzero((touch >= max(GRAM, WIDTH - o)) & (low <= o) & (o <= high) & ~marks[:, o])
+            n = np.diff(first_of)[c]
+            row = firsts[spread(first_of[c], n)]
+            window = np.concatenate([backward[c, :o][:, ::-1], forward[c, : WIDTH - o]], axis=1)
+            held.append((home[row], doc[row], ids[row], pos[row] - o, np.repeat(window, n, axis=0)))
+            size += len(row)
+            if size > 50_000 or o == BEFORE:
+                out += _dealt(*(np.concatenate(x) for x in zip(*held)), ranges)
+                held, size = [], 0
+        return out
 
-def _met(parts: list[tuple], doc_buckets: int) -> list[tuple[int, int, bytes]]:
-    """Answers for windows of a bucket: those of which a smaller document has an equal."""
-    rid, ids, key, start = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(key, kind="stable")
-    rid, ids, key, start = rid[order], ids[order], key[order], start[order]
-    begins = runs(key)
-    hit = ids > np.repeat(np.minimum.reduceat(ids, begins), np.diff(begins, append=len(key)))
-    rid, start = rid[hit], start[hit].astype(np.int64)
-    out = []
-    for to, i in deal(blocks.document_bucket(rid, doc_buckets)):
-        used, at = np.unique(rid[i], return_inverse=True)
-        out.append((to, ANSWER, blocks.ranges_block(used, at, start[i], start[i] + 1)))
-    return out
+    return each
 
 
-def _window_hashes(context: np.ndarray) -> np.ndarray:
-    """Hashes of the starts of each row's bytes in text order, longer by a byte each."""
-    text = np.concatenate([context[:, : WIDTH - 1 : -1], context[:, :WIDTH]], axis=1)
-    out = np.zeros((CONTEXT + 1, len(context)), np.uint64)
-    for j in range(CONTEXT):
-        out[j + 1] = out[j] * _STEP + _TABLE[text[:, j]]
+def _dealt(home, doc, ids, start, window, ranges: int) -> list[tuple[int, int, bytes]]:
+    """Windows to the buckets of their hashes."""
+    h = np.zeros(len(window), np.uint64)
+    for j in range(WIDTH):
+        h = h * _STEP + _TABLE[window[:, j]]
+    out = []
+    for to, i in deal((mixed(h) % np.uint64(ranges)).astype(np.int32)):
+        for b, j in deal(home[i]):
+            used, at = np.unique(doc[i[j]], return_inverse=True)
+            own = np.zeros(len(used), np.int64)
+            own[at] = ids[i[j]]
+            out.append((to, WINDOWS, pack(b, used, own, at.astype(np.uint32), start[i[j]].astype(np.uint32), window[i[j]])))
     return out
 
 
-def _by_offset(context: np.ndarray, gram: np.ndarray, least: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """For distinct contexts, of which those with equal ``gram`` number share the gram:
-    [i, o] tells if the window that begins o bytes before i's anchor is in a context
-    with a smaller least id."""
-    marks = np.zeros((len(gram), BEFORE + 1), bool)
-    several = np.bincount(gram)[gram] > 1
-    multi = np.flatnonzero(several)
-    if not len(multi):
-        return marks
-    ids = mixed(gram[multi].astype(np.uint64) + np.uint64(1))
-    h = _window_hashes(context[multi])
-    for o in range(BEFORE + 1):
-        s = BEFORE - o
-        mine = np.flatnonzero((near[multi] <= o) & (o <= far[multi]))
-        if len(mine) < 2:
-            continue
-        key = (h[s + WIDTH, mine] - h[s, mine] * _POWERS[WIDTH]) ^ ids[mine]
-        order = mine[np.argsort(key, kind="stable")]
-        key = np.sort(key)
-        begins = runs(key)
-        lengths = np.diff(begins, append=len(key))
-        low = np.repeat(np.minimum.reduceat(least[multi[order]], begins), lengths)
-        hit = np.flatnonzero(least[multi[order]] > low)
-        if not len(hit):
-            continue
-        window = np.r_[0 : WIDTH - o, WIDTH : WIDTH + o]
-        # equal hashes must be equal bytes: compared with the first of the run that has the smallest id
-        heads = np.repeat(_first_least_of(least[multi[order]], begins, lengths), lengths)
-        same = (context[multi[order[hit]]][:, window] == context[multi[order[heads[hit]]]][:, window]).all(axis=1)
-        marks[multi[order[hit[same]]], o] = True
-        for i in hit[~same]:  # as good as never
-            j = np.flatnonzero(key == key[i])
-            rows = context[multi[order[j]]][:, window]
-            equal = (rows == context[multi[order[i]]][window]).all(axis=1)
-            marks[multi[order[i]], o] = (least[multi[order[j[equal]]]] < least[multi[order[i]]]).any()
-    return marks
-
-
-def _first_least_of(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    low = np.repeat(np.minimum.reduceat(values, begins), lengths)
-    at = np.where(values == low, np.arange(len(values)), len(values))
-    return np.minimum.reduceat(at, begins)
-
-
-def _compare(doc_buckets: int):
-    """For a range of suffixes: the ranges of window starts that smaller documents have."""
-
-    def each(table: pa.Table) -> pa.Table:
-        out, parts, alone = [], [], []
-        for bucket, kind, data in zip(*(table[c].to_pylist() for c in ("bucket", "kind", "data"))):
-            if kind == ANSWER:
-                out.append((bucket, ANSWER, data))
-                continue
-            rid, ids, at, *rest = unpack(data)
-            if kind == WINDOWS:
-                at = np.cumsum(at, dtype=np.int64)
-                alone.append((rid[at], ids[at], *rest))
-                continue
-            parts.append((rid[at], ids[at], *rest))
-        if parts:
-            rid, ids, context, edge, pos, near, far = (np.concatenate(x) for x in zip(*parts))
-            words = _words(context, edge)
-            order, new = multikey_sort(words)
-            rid, ids, context, pos, near, far, words = (x[order] for x in (rid, ids, context, pos, near, far, words))
-            begins = np.flatnonzero(new)
-            lengths = np.diff(begins, append=len(rid))
-            least = np.minimum.reduceat(ids, begins)
-            w = words[begins]
-            other = np.ones(len(begins), bool)
-            other[1:] = (w[1:, 0] != w[:-1, 0]) | (w[1:, 1] != w[:-1, 1]) | (w[1:, 2] >> np.uint64(32) != w[:-1, 2] >> np.uint64(32))
-            marks = _by_offset(context[begins], np.cumsum(other) - 1, least, near[begins], far[begins])
-            of = np.repeat(np.arange(len(begins)), lengths)
-            later = np.flatnonzero(ids > least[of])
-            got = [(rid[later], pos[later].astype(np.int64) - far[later], pos[later].astype(np.int64) - near[later] + 1)]
-            edges = np.diff(np.pad(marks, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-            (c, o1), (_, o2) = np.nonzero(edges == 1), np.nonzero(edges == -1)  # offsets o1 to o2 - 1
-            firsts = np.flatnonzero(ids == least[of])
-            n = np.bincount(of[firsts], minlength=len(begins))  # of each context, positions in its least document
-            begin = np.cumsum(n) - n
-            many = n[c]
-            row = firsts[np.repeat(begin[c], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-            p = pos[row].astype(np.int64)
-            got.append((rid[row], p - np.repeat(o2, many) + 1, p - np.repeat(o1, many) + 1))
-            rid, begin, end = (np.concatenate(x) for x in zip(*got))
-            for to, i in deal(blocks.document_bucket(rid, doc_buckets)):
-                used, at = np.unique(rid[i], return_inverse=True)
-                out.append((to, ANSWER, blocks.ranges_block(used, at, begin[i], end[i])))
-        if alone:
-            out += _met(alone, doc_buckets)
-        return pa.Table.from_batches([blocks.blocks(out)])
-
-    return each
+def _across(bucket, pairs):
+    """For windows from both sides of the ranges' ends: those that a smaller document has."""
+    out: list[tuple[int, int, bytes]] = []
+    columns = _opened(((bucket, k, d) for k, d in pairs), WINDOWS, out)
+    if not columns:
+        return out
+    home, doc, ids, start, window = columns
+    order, new = multikey_sort(big_endian(window))
+    begins = np.flatnonzero(new)
+    least = np.repeat(np.minimum.reduceat(ids[order], begins), np.diff(begins, append=len(ids)))
+    i = order[ids[order] > least]
+    start = start[i].astype(np.int64)
+    return out + blocks.range_answers(home[i], doc[i], start, start + 1)
 
 
 def _splitters(rows: DataFrame, ranges: int, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Leading tokens that cut the suffixes of a sample into ``ranges`` equal parts, and
-    those of them that are more than one such cut."""
+    """Leading tokens that cut the suffixes of a sample into ``ranges`` equal parts, and, for
+    tokens that fill more than one part, the longer suffixes that cut them."""
 
     def each(batches):
         for batch in slices(batches, "text", blocks.CHUNK_BYTES):
             _, _, a, _, _, buf, _ = anchors(raw(batch.column("text")))
-            a = a[:: max(1, len(a) // 2000)]
-            got = [bytes(buf[x : x + LEAD]) for x in a]
+            a = a[:: max(1, len(a) // 500)]
+            got = [bytes(buf[x : x + WIDTH]) for x in a]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary())], ["lead"])
 
     none = np.zeros(0, f"S{LEAD}")
@@ -355,34 +271,37 @@ def _splitters(rows: DataFrame, ranges: int, sample_rows: int) -> tuple[np.ndarr
     n = rows.count()
     share = int(1_000_000 * min(1.0, sample_rows / max(n, 1))) + 1
     sample = rows.where(F.pmod("rid", F.lit(1_000_000)) < share)
-    got = np.sort(np.array([r.lead for r in sample.mapInArrow(each, "lead binary").collect()], f"S{LEAD}"))
-    if len(got) < ranges:  # of so few none is common
-        return np.unique(got), none
-    found, times = np.unique(got[[len(got) * i // ranges for i in range(1, ranges)]], return_counts=True)
-    return found, found[times > 1]
+    got = np.sort(np.array([r.lead for r in sample.mapInArrow(each, "lead binary").collect()], f"S{WIDTH}"))
+    if not len(got):
+        return none, none
+    at = got[[len(got) * i // ranges for i in range(1, ranges)]]
+    token, times = np.unique(at.astype(f"S{LEAD}"), return_counts=True)
+    return token, np.unique(at[np.isin(at.astype(f"S{LEAD}"), token[times > 1])])
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(rid, begins, ends): for each document with any, the merged half-open spans of
-    UTF-8 bytes covered by strings of WIDTH bytes that also start in a document with a
-    smaller id.  rid is ``blocks.prepared``'s.
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, bits: int = 64) -> DataFrame:
+    """(rid, doc_id, check, begins, ends): for each document with any, the merged half-open
+    spans of UTF-8 bytes covered by strings of WIDTH bytes that also start in a document with
+    a smaller id.  The first three are ``blocks.prepared``'s.
 
     A null text is empty.  Rows without an id neither lose bytes nor cost others any.
     Rows with equal ids are one document as far as ids go: none loses bytes to
     another.  Texts under WIDTH bytes lose nothing.  No rows give no rows.
+    ``bits`` are used of anchors' hashes; fewer make more work and the same result.
     """
     work = Workspace(docs.sparkSession, "suffix")
     rows = blocks.prepared(docs, id_col, text_col)
     size = blocks.total_bytes(rows)
-    doc_buckets, key_buckets, ranges = (blocks.buckets_for(size, n << 20) for n in (6, 20, 8))
-    splitters, common = _splitters(rows, ranges, sample_rows)
-    entries = blocks.anchor_entries(rows, lambda t: anchors(t)[:2], doc_buckets, key_buckets)
+    doc_buckets, key_buckets, ranges = (blocks.buckets_for(size, n << 20) for n in (6, 12, 5))
+    cuts = np.unique(np.concatenate(_splitters(rows, ranges, sample_rows)))
+    entries = blocks.anchor_entries(rows, lambda t: anchors(t, bits)[:2], doc_buckets, key_buckets)
     answers = work.save(blocks.shared_anchors(entries, doc_buckets), "answers")
     work.drop()
-    cut = blocks.text_blocks(rows, doc_buckets).union(answers).groupBy("bucket").applyInArrow(_cut(splitters, common, doc_buckets, ranges), BLOCK)
-    found = work.save(cut.groupBy("bucket").applyInArrow(_compare(doc_buckets), BLOCK), "found")
+    cut = blocks.by_bucket(blocks.text_blocks(rows, doc_buckets).union(answers), _cut(cuts, bits))
+    found = work.save(blocks.by_bucket(cut, _compare(cuts, ranges)), "found")
     work.drop("answers")
-    out = work.save(blocks.spans(found, WIDTH), "spans")
+    across = blocks.by_bucket(found.where(F.col("kind") == WINDOWS), _across)
+    out = work.save(blocks.spans(found.union(across), WIDTH), "spans")
     work.drop("found")
     return out
 
@@ -414,10 +333,8 @@ def kept_text(text: str, begins, ends) -> str:
     return kept_bytes(data, *zip(*firm)).decode() if firm else text
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    found = repeated_spans(docs, id_col=id_col, text_col=text_col).withColumnsRenamed({"rid": "_rid", "begins": "_begins", "ends": "_ends"})
-    rid = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
-    return docs.withColumn("_rid", rid).join(found.hint("shuffle_hash"), "_rid", "left")
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, bits: int = 64) -> DataFrame:
+    return blocks.with_spans(docs, repeated_spans(docs, id_col=id_col, text_col=text_col, bits=bits), id_col, text_col)
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -433,7 +350,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.withColumn(text_col, cut(text_col, "_begins", "_ends")).select(*docs.columns)
 
 
-def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
     """A row (doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``docs``."""
 
     def each(batches):
@@ -447,7 +364,7 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = _with_spans(rows, "doc_id", "text").select("doc_id", "text", "_begins", "_ends")
+    rows = _with_spans(rows, "doc_id", "text", bits).select("doc_id", "text", "_begins", "_ends")
     return rows.mapInArrow(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

@@ -129,3 +129,70 @@ def test_multikey_sort(rows):
     got = [tuple(words[i]) for i in order]
     assert got == sorted(map(tuple, words.tolist()))
     assert [True, *(a != b for a, b in zip(got, got[1:]))] == new.tolist()
+
+
+def few_tags(doc_id, text):
+    """Tags of which many documents share each."""
+    from pyspark.sql import functions as F
+
+    return F.pmod(F.xxhash64(doc_id, text), F.lit(3)), F.pmod(F.xxhash64(text), F.lit(5))
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_weak_hashes_change_nothing(spark, monkeypatch, buckets):
+    """Hashes of few bits, and documents that can't be told apart by rid: the same result."""
+    monkeypatch.setattr(blocks, "buckets_for", lambda total, each: buckets)
+    rows = texts(4)
+    small = table(spark, rows)
+    want = {(i, sum(gone)) for i, _, gone in brute(rows, 50, lambda t: (t or "").encode())}
+    assert {tuple(r) for r in suffix.digests(small, bits=3).select("doc_id", "n_removed").collect()} == want
+    want = {(i, sum(gone)) for i, _, gone in brute(rows, 13, lambda t: (t or "").encode().split())}
+    assert {tuple(r) for r in substring.digests(small, bits=3).select("doc_id", "n_removed").collect()} == want
+
+
+def test_documents_with_equal_rids(spark, monkeypatch):
+    rows = [(i, t) for i, t in texts(5) if i != 22]  # ids and check must still tell documents apart
+    monkeypatch.setattr(blocks, "tags", lambda doc_id, text: (few_tags(doc_id, text)[0], blocks.F.xxhash64(text)))
+    small = table(spark, rows)
+    want = {(i, sum(gone)) for i, _, gone in brute(rows, 50, lambda t: (t or "").encode())}
+    assert {tuple(r) for r in suffix.digests(small).select("doc_id", "n_removed").collect()} == want
+    want = {(i, sum(gone)) for i, _, gone in brute(rows, 13, lambda t: (t or "").encode().split())}
+    assert {tuple(r) for r in substring.digests(small).select("doc_id", "n_removed").collect()} == want
+
+
+@pytest.mark.parametrize("width", [13, 30])
+def test_hot_anchors_are_dealt_by_window(spark, monkeypatch, width):
+    monkeypatch.setattr(blocks, "HOT_DOCUMENTS", 2)
+    monkeypatch.setattr(blocks, "buckets_for", lambda total, each: 3)
+    rows = texts(6)
+    want = {(i, sum(gone)) for i, _, gone in brute(rows, width, lambda t: (t or "").encode().split())}
+    assert {tuple(r) for r in substring.digests(table(spark, rows), width=width).select("doc_id", "n_removed").collect()} == want
+
+
+def test_words_that_polynomials_confuse(spark):
+    """A Thue-Morse word and its complement are equal modulo 2 ** 64 under any odd multiplier."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    same = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{same} {word}"), (2, f"{same} {word.translate(str.maketrans('ab', 'ba'))}"), (3, f"{same} {word}")]
+    assert {tuple(r) for r in substring.digests(table(spark, rows)).select("doc_id", "n_removed").collect()} == {(1, 0), (2, 0), (3, 13)}
+
+
+def test_suffixes_across_ranges(spark, monkeypatch):
+    """One gram in every document, cut into many ranges: windows meet beyond the ends."""
+    monkeypatch.setattr(blocks, "buckets_for", lambda total, each: 12)
+    gram = "the same leading token, always "
+    rows = [(i, f"{i:04d}{'xyz'[i % 3] * (i % 17)} {gram}{'pq'[i % 2] * (i % 13 + 6)}{i % 5} tail {i % 7} " * 3) for i in range(90)]
+    cuts = sorted({f"{gram}{c * n}".encode()[:50] for c in "pq" for n in range(1, 19)} | {gram[:k].encode() for k in (5, 16, 24)})
+    monkeypatch.setattr(suffix, "_splitters", lambda rows, ranges, n: (np.array(cuts, "S50")[::4], np.array(cuts, "S50")[::5]))
+    want = {(i, sum(gone)) for i, _, gone in brute(rows, 50, lambda t: (t or "").encode())}
+    assert {tuple(r) for r in suffix.digests(table(spark, rows)).select("doc_id", "n_removed").collect()} == want
+
+
+@given(st.lists(st.lists(st.integers(0, 2), min_size=4, max_size=4), min_size=1, max_size=80), st.integers(1, 9))
+@settings(deadline=None)
+def test_multikey_quicksort_splits(rows, small):
+    words = np.array(rows, np.uint64)
+    order, new = suffix.multikey_sort(words, small)
+    got = [tuple(x) for x in words[order].tolist()]
+    assert got == sorted(got) and sorted(order.tolist()) == list(range(len(rows)))
+    assert [True, *(a != b for a, b in zip(got, got[1:]))] == new.tolist()
