@@ -1,20 +1,22 @@
 """Packing tokenized documents into sequences by a grouping genetic algorithm.
 
-Documents are tokenized once, cut only where longer than a sequence, and their
-pieces are dealt to blocks of about ``BLOCK_PIECES`` by a hash; blocks are packed
-independently, each wasting less than a sequence or so out of hundreds.  Pieces
-that fill a sequence get one of their own.  The others of a block are packed after
+Documents are tokenized once and cut only where longer than a sequence.  Pieces
+that fill a sequence get one of their own.  The others are dealt to blocks of about
+``BLOCK_PIECES`` by their row's number, so equal rows part, and a block is packed after
 Falkenauer (1996): an individual is a grouping of the pieces into bins; crossover
 injects well-filled bins of one parent into the other, removes the bins that
 hold duplicates of their pieces, and best-fits the pieces displaced, largest first.
 
 Each block has ``ISLANDS`` populations, which are rows of a DataFrame.  In an epoch
 every island evolves on its own, in parallel; then its elite migrates to the next
-island, which is a shuffle by block and island.  Islands that have reached the lower
-bound on the number of bins stop.  At last each block takes its best individual.
-
-All random choices come from seeds fixed by block, island and epoch, so a task that
-is run again gives the same rows.
+island, which is a shuffle by block and island.  At last each block takes its best
+individual.  It keeps its fuller bins and passes on the emptiest quarter: the pieces in
+these are packed anew, in blocks made of many blocks' leftovers, until one block
+is left, which keeps all.  So what blocks waste is that of one block, and not a bin each.
+Islands stop early only where nothing can be gained: at the lower bound, in the last round.
+
+All random choices come from seeds fixed by round, block, island and epoch, so a task
+that is run again gives the same rows.
 """
 
 from __future__ import annotations
@@ -31,15 +33,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import pack, unpack
-from .common import Workspace, configure, slices
+from .common import Workspace, configure, slices, tidy
 
 MOST_TOKENS = 2048
 #: Name of the public tokenizer file, and the id after each document.
 TOKENIZER, END = "word_bpe_49k.json", 0
 #: Pieces of a block on average, islands of a block, epochs, generations of an epoch, individuals of an island.
-BLOCK_PIECES, ISLANDS, EPOCHS, GENERATIONS, INDIVIDUALS = 3000, 2, 2, 4, 4
-#: Words whose ids a worker keeps before it starts afresh.
-MOST_KEPT = 500_000
+BLOCK_PIECES, ISLANDS, EPOCHS, GENERATIONS, INDIVIDUALS = 12_000, 2, 3, 4, 4
+#: Bins of a block on average, at least.
+LEAST_BINS = 16
+#: Of a block's bins one in so many is passed on to the next round, the emptiest.
+PASSED_ON = 4
+#: Bytes of words and ids that a task keeps, and that a worker keeps for its next task.
+MOST_KEPT, KEPT = 48 << 20, 12 << 20
+#: Of a word that is kept, bytes besides its own and its ids'.
+_EACH = 180
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -70,7 +78,20 @@ class Encoder:
         suffix = self.tokenizer.model.end_of_word_suffix
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)], bool)
+        #: Ids by word, and about how many bytes they take.
         self.stems: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def forget(self, most: int) -> None:
+        """Keep the words met first, which are the common ones, up to so many bytes."""
+        if self.held <= most:
+            return
+        old, self.stems, self.held = self.stems, {}, 0
+        for w, ids in old.items():
+            self.held += len(w) + len(ids) + _EACH
+            if self.held > most:
+                break
+            self.stems[w] = ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's end."""
@@ -87,9 +108,9 @@ class Encoder:
 
     def words(self, words: list[bytes]) -> list[bytes]:
         """The ids of each of these words, as bytes."""
+        if self.held > MOST_KEPT:
+            self.forget(KEPT)
         stems = self.stems
-        if len(stems) > MOST_KEPT:
-            stems.clear()
         out: list[bytes] = []
         cut: list[tuple[int, bytes, bytes]] = []
         simple, other = [], []
@@ -129,11 +150,14 @@ class Encoder:
             data, begin = ids.tobytes(), 0
             for w, e in zip(part, (4 * ends).tolist()):
                 self.stems[w] = data[begin:e]
+                self.held += len(w) + e - begin + _EACH
                 begin = e
         for b in range(0, len(other), 10_000):
             part = other[b : b + 10_000]
             got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.stems.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got))
+            for w, e in zip(part, got):
+                self.stems[w] = np.array(e.ids, "<u4").tobytes()
+                self.held += len(w) + len(self.stems[w]) + _EACH
 
 
 def _letters(stem: bytes) -> bool:
@@ -147,7 +171,7 @@ def _letters(stem: bytes) -> bool:
 
 @functools.lru_cache(maxsize=1)
 def _encoder(path: str | None) -> Encoder:
-    """Made once in a worker, which also keeps what it has tokenized for its next task."""
+    """Made once in a worker, which also keeps some of what it has tokenized for its next task."""
     return Encoder(path)
 
 
@@ -171,6 +195,8 @@ def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                         column.append(value)
             columns = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder.forget(KEPT)
+        tidy()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(each, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -261,21 +287,16 @@ def fewest(sizes: np.ndarray, capacity: int) -> int:
 def first_population(sizes: np.ndarray, capacity: int, individuals: int, rng: np.random.Generator) -> list[np.ndarray]:
     """Best-fit packings of the pieces in falling order, all but the first disturbed."""
     noise = [np.zeros(len(sizes), np.int64), *(rng.integers(0, capacity // 8 + 1, len(sizes)) for _ in range(individuals - 1))]
-    out = []
-    for x in noise:
-        out.append(best_fit(sizes, np.argsort(-(sizes + x), kind="stable"), capacity))
-        if out[-1].max(initial=-1) + 1 <= fewest(sizes, capacity):
-            break
-    return out
+    return [best_fit(sizes, np.argsort(-(sizes + x), kind="stable"), capacity) for x in noise]
 
 
-def evolve(population: list[np.ndarray], sizes: np.ndarray, capacity: int, individuals: int, generations: int, rng: np.random.Generator) -> list[np.ndarray]:
-    """The population after ``generations``, best first.  Fewer bins rank before fitness."""
+def evolve(population: list[np.ndarray], sizes: np.ndarray, capacity: int, individuals: int, generations: int, rng: np.random.Generator, least: int = 0) -> list[np.ndarray]:
+    """The population after ``generations``, best first.  Fewer bins rank before fitness.
+    It stops where the best has no more than ``least`` bins."""
     rank = lambda x: (x.max(initial=-1) + 1, -fitness(x, sizes, capacity))
-    least = fewest(sizes, capacity)
     population = sorted(population, key=rank)[:individuals]
     for _ in range(generations):
-        if population[0].max(initial=-1) + 1 <= least:
+        if population[0].max(initial=-1) + 1 <= max(least, 1):
             break
         children = []
         for _ in range(individuals):
@@ -286,43 +307,36 @@ def evolve(population: list[np.ndarray], sizes: np.ndarray, capacity: int, indiv
     return population
 
 
-def _sizes(table: pa.Table, most: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """The block's rows in a fixed order, their lengths, and the numbers of those that
-    are shorter than a sequence."""
-    table = table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("doc_id", "piece", "length", "ids_crc32")]))
-    lengths = table["length"].to_numpy()
-    return table, lengths, np.flatnonzero(lengths < most)
-
+def passed_on(labels: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which bins are packed anew in the next round: one in PASSED_ON, two at least, the emptiest."""
+    fill = np.bincount(labels, weights=sizes)
+    out = np.zeros(len(fill), bool)
+    out[np.argsort(fill, kind="stable")[: max(2, len(fill) // PASSED_ON)]] = True
+    return out
 
-def pack_documents(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_TOKENS, path: str | None = None, block_pieces: int = BLOCK_PIECES, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, individuals: int = INDIVIDUALS
-) -> DataFrame:
-    """``token_pieces``'s rows with sequence_id and offset: the sequence that a piece
-    is in and its place there, without gaps from 0.
 
-    A null or empty text is one piece of one id.  Rows without an id and repeated rows
-    are packed like any other.  No rows give no rows.
-    """
-    work = Workspace(docs.sparkSession, "packing")
-    pieces = work.save(token_pieces(docs, id_col=id_col, text_col=text_col, most=most, path=path), "pieces")
-    blocks = max(1, round(pieces.count() / block_pieces))
-    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("int"))
+def _evolved(pieces: DataFrame, number: int, blocks: int, most: int, islands: int, epochs: int, generations: int, individuals: int) -> DataFrame:
+    """(row, length, sequence_id, offset) of pieces (row, length) shorter than a sequence: those of
+    the bins that their blocks keep; the others' sequence_id is null."""
+    pieces = pieces.select("row", "length", F.pmod(F.xxhash64("row", F.lit(number)), F.lit(blocks)).cast("int").alias("block"))
     island = "block int, island int, data binary"
 
+    def ordered(table: pa.Table) -> pa.Table:
+        return table.take(pc.sort_indices(table, sort_keys=[("row", "ascending")]))
+
     def row(block: int, to: int, sizes: np.ndarray, population: list[np.ndarray]) -> tuple:
-        return block, to, pack(sizes.astype(np.uint16), [x.astype(np.uint16) for x in population])
+        return block, to, pack(sizes.astype(np.uint32), [x.astype(np.uint32) for x in population])
 
     def table_of(rows: list[tuple]) -> pa.Table:
-        b, i, d = zip(*rows) if rows else ((), (), ())
+        b, i, d = zip(*rows)
         return pa.table({"block": pa.array(b, pa.int32()), "island": pa.array(i, pa.int32()), "data": pa.array(d, pa.binary())})
 
     def settle(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
-        _, lengths, short = _sizes(table, most)
-        sizes = lengths[short]
-        return table_of([row(block, k, sizes, first_population(sizes, most, individuals, np.random.default_rng([block, k]))) for k in range(islands)])
+        sizes = ordered(table)["length"].to_numpy()
+        return table_of([row(block, k, sizes, first_population(sizes, most, individuals, np.random.default_rng([number, block, k]))) for k in range(islands)])
 
-    def epoch(number: int):
+    def epoch(turn: int):
         def each(table: pa.Table) -> pa.Table:
             """All that has come to an island evolves; its elite goes to the next one too."""
             block, here = table["block"][0].as_py(), table["island"][0].as_py()
@@ -331,42 +345,67 @@ def pack_documents(
                 sizes, come = unpack(data)
                 sizes = sizes.astype(np.int64)
                 population += [x.astype(np.int64) for x in come]
-            population = evolve(population, sizes, most, individuals, generations, np.random.default_rng([block, here, number]))
+            least = fewest(sizes, most) if blocks == 1 else 0
+            population = evolve(population, sizes, most, individuals, generations, np.random.default_rng([number, block, here, turn]), least)
             out = [row(block, here, sizes, population)]
-            if islands > 1 and number + 1 < epochs:
+            if islands > 1 and turn + 1 < epochs:
                 out.append(row(block, (here + 1) % islands, sizes, population[:1]))
             return table_of(out)
 
         return each
 
     state = pieces.groupBy("block").applyInArrow(settle, island)
-    for number in range(epochs):
-        state = state.groupBy("block", "island").applyInArrow(epoch(number), island)
+    for turn in range(epochs):
+        state = state.groupBy("block", "island").applyInArrow(epoch(turn), island)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        table, lengths, short = _sizes(left, most)
+        table = ordered(left)
+        rows, lengths = table["row"].to_numpy(), table["length"].to_numpy()
         best = None
         for data in sorted(right["data"].to_pylist()):
-            sizes, population = unpack(data)
-            x = population[0].astype(np.int64)
-            mark = (x.max(initial=-1) + 1, -fitness(x, sizes.astype(np.int64), most))
-            if best is None or mark < best[0]:
-                best = mark, x
-        labels = np.zeros(len(lengths), np.int64)
-        labels[short] = best[1]
-        full = np.flatnonzero(lengths >= most)
-        labels[full] = best[1].max(initial=-1) + 1 + np.arange(len(full))
+            for x in unpack(data)[1][:1]:
+                x = x.astype(np.int64)
+                mark = (x.max(initial=-1) + 1, -fitness(x, lengths, most))
+                if best is None or mark < best[0]:
+                    best = mark, x
+        labels = best[1]
         order = np.argsort(labels, kind="stable")
-        sums = np.cumsum(lengths[order]) - lengths[order]
         begins = np.flatnonzero(np.diff(labels[order], prepend=-1))
-        offset = np.empty(len(labels), np.int64)
-        offset[order] = sums - np.repeat(sums[begins], np.diff(begins, append=len(order)))
-        sequence = (table["block"][0].as_py() << 32) + labels
-        return table.drop_columns(["block"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
-
-    return pieces.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(
-        finish, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    )
+        each = np.diff(begins, append=len(order))
+        sums = np.cumsum(lengths[order]) - lengths[order]
+        offset, sequence = np.empty(len(labels), np.int64), np.empty(len(labels), np.int64)
+        offset[order] = sums - np.repeat(sums[begins], each)
+        sequence[order] = np.repeat(rows[order][begins], each)  # the number of its first row
+        again = passed_on(labels, lengths)[labels] if blocks > 1 else np.zeros(len(labels), bool)
+        columns = [table["row"], table["length"], pa.array(sequence, mask=again), pa.array(offset, mask=again)]
+        return pa.Table.from_arrays(columns, ["row", "length", "sequence_id", "offset"])
+
+    out = pieces.groupBy("block").cogroup(state.groupBy("block"))
+    return out.applyInArrow(finish, "row long, length long, sequence_id long, offset long")
+
+
+def pack_documents(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_TOKENS, path: str | None = None, block_pieces: int = BLOCK_PIECES, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, individuals: int = INDIVIDUALS
+) -> DataFrame:
+    """``token_pieces``'s rows with sequence_id and offset: the sequence that a piece
+    is in and its place there, without gaps from 0.
+
+    A null or empty text is one piece of one id.  Rows without an id and repeated rows
+    are packed like any other, each by itself.  No rows give no rows.
+    """
+    work = Workspace(docs.sparkSession, "packing")
+    pieces = token_pieces(docs, id_col=id_col, text_col=text_col, most=most, path=path)
+    pieces = work.save(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    done, left, number, blocks = [], pieces.where(F.col("length") < most).select("row", "length"), 0, 1 << 31
+    while (size := left.agg(F.count("*").alias("n"), F.sum("length").alias("tokens")).first()).n:
+        blocks = max(1, min(round(size.n / block_pieces), size.tokens // (LEAST_BINS * most), blocks - 1))
+        out = work.save(_evolved(left, number, blocks, most, islands, epochs, generations, individuals), f"round{number}")
+        done.append(out.where("sequence_id IS NOT NULL").select("row", "sequence_id", "offset"))
+        left, number = out.where("sequence_id IS NULL").select("row", "length"), number + 1
+    found = pieces.where(F.col("length") >= most).select("row", F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    for part in done:  # one for each power of PASSED_ON in the number of blocks
+        found = found.unionByName(part)
+    return pieces.join(found, "row").drop("row")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

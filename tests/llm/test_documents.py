@@ -242,3 +242,44 @@ def test_crossover_keeps_all_pieces():
             assert (np.bincount(child, weights=sizes) <= capacity).all() and len(child) == 300 and (child >= 0).all()
         best = packing.evolve([one, two], sizes, capacity, 4, 6, rng)[0]
         assert packing.fewest(sizes, capacity) <= best.max() + 1 <= min(one.max(), two.max()) + 1
+
+
+def test_labels_of_many_bins():
+    """More bins than 16 bits number: none is mixed up with another between islands."""
+    sizes = np.full(70_000, 1101)
+    labels = packing.best_fit(sizes, np.arange(len(sizes)), 2048)
+    best = packing.evolve([labels, labels[::-1]], sizes, 2048, 1, 1, np.random.default_rng(0), 70_000)[0]
+    assert len(np.unique(best.astype(np.uint32))) == 70_000
+
+
+def test_packing_of_repeated_rows(spark):
+    text = "word " * 1100
+    docs = spark.range(3000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", f"'{text}' AS text")
+    got = packing.pack_documents(docs, block_pieces=500, epochs=1, generations=1).groupBy("sequence_id").sum("length").collect()
+    assert len(got) == 3000 and {r[1] for r in got} == {1101}
+
+
+def test_algorithm_beats_best_fit():
+    """Sizes of which best-fit in falling order wastes some: the islands need fewer bins."""
+    for low, high, n in ((300, 1000, 1000), (500, 1024, 300)):
+        rng = np.random.default_rng(n)
+        sizes = rng.integers(low, high, n)
+        plain = packing.best_fit(sizes, np.argsort(-sizes, kind="stable"), 2048).max() + 1
+        population = packing.first_population(sizes, 2048, 4, rng)
+        best = packing.evolve(population, sizes, 2048, 4, 12, rng, packing.fewest(sizes, 2048))[0]
+        assert (np.bincount(best, weights=sizes) <= 2048).all()
+        assert packing.fewest(sizes, 2048) <= best.max() + 1 < plain
+
+
+def test_leftovers_of_many_blocks(spark):
+    """Blocks lose up to a sequence each; packing their emptiest bins together gets that back."""
+    rng = np.random.default_rng(8)
+    words = [(i, "w " * int(n)) for i, n in enumerate(rng.integers(5, 1500, 1500))]
+    docs = spark.createDataFrame(words, "doc_id long, text string")
+    got = packing.pack_documents(docs, block_pieces=100, epochs=1, generations=2).collect()
+    total = sum(r.length for r in got)
+    fill: dict = {}
+    for r in sorted(got, key=lambda r: r.offset):
+        assert r.offset == fill.get(r.sequence_id, 0)
+        fill[r.sequence_id] = r.offset + r.length
+    assert len(got) == 1500 and max(fill.values()) <= 2048 and len(fill) <= -(-total // 2048) + 2
