@@ -283,3 +283,80 @@ def test_leftovers_of_many_blocks(spark):
         assert r.offset == fill.get(r.sequence_id, 0)
         fill[r.sequence_id] = r.offset + r.length
     assert len(got) == 1500 and max(fill.values()) <= 2048 and len(fill) <= -(-total // 2048) + 2
+
+
+def unigram_model(normaliser=None, bytes_too=False, suffix=False):
+    """A model made by hand, with the rules of a normaliser that the library has."""
+    import sentencepiece as sp
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    if normaliser:
+        whole = pb.ModelProto()
+        whole.ParseFromString(sp.SentencePieceNormalizer(rule_name=normaliser).serialized_model_proto())
+        m.normalizer_spec.CopyFrom(whole.normalizer_spec)
+    else:
+        m.normalizer_spec.remove_extra_whitespaces = False
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback, m.trainer_spec.treat_whitespace_as_suffix = 1, bytes_too, suffix
+    pieces_of = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), ("<x>", 0, 4), ("▁", -3, 1), ("no", -1, 5)]
+    pieces_of += [(c, -4 - i / 8, 1) for i, c in enumerate("abcdefinortx")] + [("▁a", -2, 1), ("ab", -3.7, 1), ("▁ab", -4.5, 1), ("ba", -1, 1), ("fi", -3, 1), ("the▁", -5, 1), ("a▁b", -2.2, 1), ("東", -6, 1)]
+    pieces_of += [(f"<0x{b:02X}>", 0, 6) for b in range(256)] * bytes_too
+    for piece, score, kind in pieces_of:
+        m.pieces.add(piece=piece, score=score, type=kind)
+    return m.SerializeToString()
+
+
+@pytest.mark.parametrize("normaliser", [None, "nmt_nfkc", "nfkc_cf", "identity"])
+@pytest.mark.parametrize("bytes_too,suffix", [(False, False), (True, False), (True, True)])
+def test_unigram_models(normaliser, bytes_too, suffix):
+    import random
+
+    import sentencepiece as sp
+
+    model = unigram_model(normaliser, bytes_too, suffix)
+    machine, known = pieces.Transducer(model), sp.SentencePieceProcessor(model_proto=model)
+    rng = random.Random(5)
+    chars = ["a", "b", "no", "fi", "\ufb01", " ", "  ", "\u3000", "\u2460", "e\u0301", "\u6771", "\u4eac\u90fd", "\t", "\n", "\u2581", "X", "<x>", "\uff71\uff9e", "\u200b", "the ", "\U0001f608"]
+    for _ in range(400):
+        text = "".join(rng.choice(chars) for _ in range(rng.randrange(12)))
+        assert np.frombuffer(machine.encode(text), "<u4").tolist() == known.encode(text), text
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf", "identity"])
+def test_normaliser(rule):
+    import random
+
+    import sentencepiece as sp
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    known = sp.SentencePieceNormalizer(rule_name=rule)
+    m = pb.ModelProto()
+    m.ParseFromString(known.serialized_model_proto())
+    machine = pieces.Normaliser(m.normalizer_spec, [], False)
+    rng = random.Random(6)
+    for _ in range(1000):
+        text = "".join(rng.choice("aB \u3000\u00a0\uff71\uff76\uff9e\u2460\ufb01e\u0301\t\n\u200b\ufeff\u2581\u6771\u00c5\u00bd") for _ in range(rng.randrange(14)))
+        assert machine.whole(text) == known.normalize(text), text
+
+
+def test_sentencepiece_columns(spark, tmp_path):
+    """The query's columns against the library, whole table."""
+    import sentencepiece as sp
+
+    model = sp.SentencePieceProcessor(model_file=pieces.model_path())
+    docs = table(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.n_ids, r.ids_crc32, bytes(r.ids), r.round_trip, r.text) for r in pieces.op6_sentencepiece(spark, str(tmp_path)).collect()}
+    want = set()
+    for i, t in texts():
+        ids = np.array(model.encode(t or ""), "<u4").tobytes()
+        want.add((i, len(ids) // 4, zlib.crc32(ids), ids, True, t or ""))
+    assert got == want
+
+
+def test_forgetting_changes_nothing():
+    machine = pieces.Transducer(open(pieces.model_path(), "rb").read())
+    rows = [t or "" for _, t in texts()]
+    once = [machine.encode(t) for t in rows]
+    machine.forget(2000)
+    assert machine.held <= 2200 and [machine.encode(t) for t in rows] == once
