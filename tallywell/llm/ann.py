@@ -1,20 +1,21 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes (after RaBitQ,
 Gao and Long, 2024).
 
-A vector's residual to a centroid is scaled to length one, padded, turned by a
-random orthogonal matrix and kept as the signs of its coordinates: its code, with
-its length and its inner product with the code's own direction as correction
-scalars.  The inner product of a query with a code, divided by that scalar,
-estimates the one with the vector without bias, and the scalar gives the width
-of a confidence interval: vectors whose least possible distance is above the
-query's threshold are left out, and all others are measured exactly.
-
-Vectors are packed into blocks, and so are queries; each pair of blocks meets by an
-equi-join on a shard number, to which query blocks are copied.  A pair of blocks
-gives the ``k`` nearest of that block for each of its queries, and the best of those
-are kept by a window over the query.  The threshold of a query is the least of
-the k-th upper bound in the block and the k-th distance in a bounded sample of
-the rows, which is fitted in advance like the centroid.
+A vector's residual to a centroid is scaled to length one, padded with zeros to
+``BITS_EACH`` times its dimensions, turned by a random orthogonal matrix and kept as the
+signs of its coordinates: its code, packed into words of 64 bits, with its length and its
+inner product with the code's own direction as correction scalars.  A query is turned
+likewise and its coordinates rounded to ``PLANES`` bits, so that its inner product with a
+code is a sum of popcounts of the code and each bit plane.  Divided by the code's scalar, it
+estimates the one with the vector without bias, and the scalars and the rounding give the
+width of a confidence interval.
+
+Blocks of codes and blocks of queries meet in a grid of shards, both of bounded size, by an
+equi-join.  A pair of blocks gives the vectors whose least possible distance is within
+the query's threshold: the least of the k-th greatest possible distance in the block and the
+k-th distance in a bounded sample of the rows, which is computed once with the query.  The
+k-th greatest possible distance over all blocks then decides which vectors are fetched and
+measured exactly.
 """
 
 from __future__ import annotations
@@ -26,17 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import configure
+from .common import configure, tidy
 
 #: Rows of a block of vectors and of a block of queries.
 BLOCK_ROWS, QUERY_ROWS = 8192, 512
+#: Bytes of codes and of queries in a shard of the grid, on average at most.
+SHARD_BYTES = 64 << 20
 #: Rows to which the centroid and the first thresholds are fitted, at most.
 SAMPLE_ROWS = 4096
 #: Half-width of the confidence interval in standard errors: at 4 about one vector in
 #: sixteen thousand lies outside of it.
 ERRORS = 4.0
-#: Bits of a code for each dimension of the vectors.
-BITS_EACH = 4
+#: One-bit codes of a vector, as times its dimensions, and bits of a query's coordinates.
+BITS_EACH, PLANES = 4, 4
 
 
 @dataclass(frozen=True)
@@ -55,7 +58,7 @@ class Model:
 
 def fit(ids: np.ndarray, sample: np.ndarray, bits_each: int = BITS_EACH, seed: int = 7) -> Model:
     d = sample.shape[1]
-    bits = max(64, -(-d * bits_each // 8) * 8)
+    bits = -(-d * bits_each // 64) * 64
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))
     return Model(sample.mean(axis=0), (q * np.sign(np.diag(r)))[:d].copy(), ids, sample)
 
@@ -71,21 +74,56 @@ def encode(model: Model, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return np.packbits(signs, axis=1), length, np.where(length > 0, inner, 1.0)
 
 
-def bounds(model: Model, codes: np.ndarray, length: np.ndarray, inner: np.ndarray, queries: np.ndarray, errors: float) -> tuple[np.ndarray, np.ndarray]:
-    """[query, vector]: the least and the greatest squared distance that the codes allow."""
-    residual = queries - model.centre
-    own = np.sqrt((residual**2).sum(axis=1))
-    turned = residual @ model.turn
-    signs = np.unpackbits(codes, axis=1, count=model.bits).astype(np.float32)
+@dataclass(frozen=True)
+class Queries:
+    """Queries as they meet codes: lengths of residuals, the coordinates' least value and step,
+    their bit planes, and the sums of the rounded coordinates."""
+
+    own: np.ndarray
+    least: np.ndarray
+    step: np.ndarray
+    planes: np.ndarray  # [query, plane, word]
+    total: np.ndarray
+
+    @staticmethod
+    def of(model: Model, queries: np.ndarray) -> Queries:
+        residual = queries - model.centre
+        turned = residual @ model.turn
+        least = turned.min(axis=1)
+        step = (turned.max(axis=1) - least) / ((1 << PLANES) - 1)
+        level = np.rint((turned - least[:, None]) / np.where(step > 0, step, 1)[:, None]).astype(np.uint8)
+        planes = np.packbits((level[:, None, :] >> np.arange(PLANES, dtype=np.uint8)[:, None]) & 1, axis=2)
+        total = model.bits * least + step * level.sum(axis=1, dtype=np.int64)
+        return Queries(np.sqrt((residual**2).sum(axis=1)), least, step, np.ascontiguousarray(planes).view(np.uint64), total)
+
+
+def _bounds(bits: int, codes: np.ndarray, ones: np.ndarray, length: np.ndarray, inner: np.ndarray, queries: Queries, i: int, errors: float) -> tuple[np.ndarray, np.ndarray]:
+    """[vector]: the least and the greatest squared distance from query i that the codes allow.
+    ``codes`` are words, ``ones`` the number of ones in each code."""
+    own, least, step = queries.own[i], queries.least[i], queries.step[i]
+    shared = np.zeros(len(codes), np.int64)
+    for p in range(PLANES):
+        shared += np.bitwise_count(codes & queries.planes[i, p]).sum(axis=1, dtype=np.int64) << p
     # the code's direction is (2 * sign - 1) / sqrt(bits)
-    product = (2 * (turned.astype(np.float32) @ signs.T) - turned.sum(axis=1, keepdims=True)) / np.sqrt(model.bits)
-    estimate = product / inner * length
-    off = np.sqrt(np.maximum(1 - inner**2, 0)) / inner * errors / np.sqrt(model.bits - 1) * length
-    off = own[:, None] * off + 1e-5 * (own[:, None] ** 2 + length**2)  # and single precision
-    middle = own[:, None] ** 2 + length**2 - 2 * estimate
+    product = (2 * (least * ones + step * shared) - queries.total[i]) / np.sqrt(bits)
+    scale = length / inner
+    # of the code, and of rounding: coordinates are off by up to half a step, evenly
+    error = np.sqrt(np.maximum(1 - inner**2, 0) * own**2 / (bits - 1) + step**2 / 12)
+    off = errors * error * scale + 1e-9 * (own**2 + length**2)
+    middle = own**2 + length**2 - 2 * product * scale
     return middle - 2 * off, middle + 2 * off
 
 
+def bounds(model: Model, codes: np.ndarray, length: np.ndarray, inner: np.ndarray, queries: np.ndarray, errors: float) -> tuple[np.ndarray, np.ndarray]:
+    """[query, vector]: the least and the greatest squared distance that the codes allow."""
+    words = np.ascontiguousarray(codes).view(np.uint64)
+    ones = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+    asked = Queries.of(model, queries)
+    got = [_bounds(model.bits, words, ones, length, inner, asked, i, errors) for i in range(len(queries))]
+    low, high = zip(*got)
+    return np.array(low), np.array(high)
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances of paired rows, summed in the order of the dimensions."""
     out = np.zeros(len(a))
@@ -94,23 +132,6 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
-def nearest(model: Model, ids: np.ndarray, vectors: np.ndarray, code: tuple, query_ids: np.ndarray, queries: np.ndarray, limit: np.ndarray, k: int, errors: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's number, id, distance) of the k nearest rows of a block for each query,
-    itself left out; ``limit`` has the distance beyond which nothing is wanted."""
-    low, high = bounds(model, *code, queries, errors)
-    own = ids[None, :] == query_ids[:, None]
-    high[own] = np.inf
-    n = high.shape[1]
-    cut = np.minimum(limit**2 * (1 + 1e-9), np.partition(high, min(k, n) - 1, axis=1)[:, min(k, n) - 1] if n >= k else np.inf)
-    q, v = np.nonzero((low <= cut[:, None]) & ~own)
-    d = distances(vectors[v], queries[q])
-    order = np.lexsort((ids[v], d, q))
-    q, v, d = q[order], v[order], d[order]
-    first = np.searchsorted(q, q)  # where the query's rows begin
-    keep = np.arange(len(q)) - first < k
-    return q[keep], ids[v[keep]], d[keep]
-
-
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v) of the rows that take part: v as doubles, neither null, empty, all
     zero, nor with a null or non-finite component.  Rows without an id take no part."""
@@ -125,19 +146,34 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _packed(rows: DataFrame, each_rows: int, shards: int) -> DataFrame:
-    """Blocks (shard, ids, data) of up to ``each_rows`` rows, dealt to shards by their first ids."""
+def _packed(rows: DataFrame, each_rows: int, columns: int, pack) -> DataFrame:
+    """Blocks (block, data0, data1, ...) of up to ``each_rows`` rows: ``pack`` makes arrays of ids and
+    vectors; block is a hash of the ids."""
+    names = [f"data{i}" for i in range(columns)]
 
     def each(batches):
-        for batch in batches:
-            for b in range(0, len(batch), each_rows):
-                part = batch.slice(b, each_rows)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                data = _matrix(part.column(1)).astype(np.float64)
-                to = int(ids[0]) * 0x9E3779B1 % shards
-                yield pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], ["shard", "ids", "data"])
+        ids, held, n = [], [], 0
 
-    return rows.mapInArrow(each, "shard int, ids binary, data binary")
+        def made():
+            data = [np.ascontiguousarray(x).tobytes() for x in pack(np.concatenate(ids), np.concatenate(held))]
+            block = int.from_bytes(np.concatenate(ids)[:8].tobytes()[:8], "little") * 0x9E3779B97F4A7C15 >> 20 & (1 << 31) - 1
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], ["block", *names])
+
+        for batch in batches:
+            at = 0
+            while at < len(batch):
+                part = batch.slice(at, each_rows - n)
+                ids.append(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+                held.append(_matrix(part.column(1)).astype(np.float64))
+                at, n = at + len(part), n + len(part)
+                if n == each_rows:
+                    yield made()
+                    ids, held, n = [], [], 0
+        if n:
+            yield made()
+        tidy()
+
+    return rows.mapInArrow(each, "block int" + "".join(f", {c} binary" for c in names))
 
 
 def search(
@@ -155,56 +191,90 @@ def search(
     ``vectors`` with another id, nearest first and ties to the smaller id; score is
     the Euclidean distance in double precision.
 
-    All vectors that take part (``usable``) must have one length; if they differ, those
-    of the commonest length in the sample are searched.  Fewer than k candidates give
-    fewer rows; no queries or no vectors give none.  Repeated ids give repeated rows.
+    Rows that ``usable`` leaves out take no part.  Vectors are compared with those of their
+    length only; each length is searched by itself.  Fewer than k candidates give
+    fewer rows; no queries or no vectors give none.  Each pair of rows counts, so repeated
+    ids give repeated rows, of which the k nearest of a query's id stay.
     """
     spark = vectors.sparkSession
     configure(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BLOCK_ROWS)
-    schema = "query_id long, rank int, vec_id long, score double"
-    good = usable(vectors, id_col, vector_col)
-    rows = good.count()
-    share = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / max(rows, 1))) + 1
-    sample = good.where(share).limit(2 * sample_rows).collect()
-    if not sample:
-        return spark.createDataFrame([], schema)
-    sizes = [len(r.v) for r in sample]
-    size = max(set(sizes), key=lambda n: (sizes.count(n), n))
-    sample = sorted((r for r in sample if len(r.v) == size), key=lambda r: r.vec_id)[:sample_rows]
+    good, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    wanted = {r.size for r in asked.select(F.size("v").alias("size")).distinct().collect()}  # lengths, not rows
+    for size, n in sorted(map(tuple, good.groupBy(F.size("v").alias("size")).count().collect())):
+        if size in wanted:
+            out = out.union(_search(good.where(F.size("v") == size), asked.where(F.size("v") == size), size, n, k, errors, bits_each, sample_rows))
+    return out
+
+
+def _search(good: DataFrame, asked: DataFrame, size: int, rows: int, k: int, errors: float, bits_each: int, sample_rows: int) -> DataFrame:
+    """``search`` among vectors of one length."""
+    spark = good.sparkSession
+    share = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / rows)) + 1
+    sample = good.where(share).limit(2 * sample_rows).collect() or good.limit(sample_rows).collect()
+    sample = sorted(sample, key=lambda r: (r.vec_id, r.v))[:sample_rows]
     model = fit(np.array([r.vec_id for r in sample]), np.array([r.v for r in sample]), bits_each)
     fitted = spark.sparkContext.broadcast(model)  # sample_rows vectors and a matrix, whatever the input
-    good = good.where(F.size("v") == size)
-    asked = usable(queries, id_col, vector_col).where(F.size("v") == size)
-    shards = max(1, min(rows // BLOCK_ROWS + 1, 4 * spark.sparkContext.defaultParallelism))
-    left = _packed(good, BLOCK_ROWS, shards)
-    parts = max(1, min(spark.sparkContext.defaultParallelism, rows // 100_000))
-    right = _packed(asked.repartition(parts, "vec_id"), QUERY_ROWS, shards).select(
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("ids").alias("query_ids"), F.col("data").alias("query_data")
-    )
+    bits, words = model.bits, model.bits // 64
 
-    def each(batches):
+    def coded(ids, v):
+        return ids, *encode(fitted.value, v)
+
+    def turned(ids, v):
         model = fitted.value
-        cache: dict[bytes, tuple] = {}
+        limit = np.full(len(ids), np.inf)
+        if len(model.sample_ids) > k:
+            for i in range(len(ids)):
+                d = ((model.sample - v[i]) ** 2).sum(axis=1)
+                d[model.sample_ids == ids[i]] = np.inf
+                limit[i] = np.partition(d, k - 1)[k - 1]
+        q = Queries.of(model, v)
+        return ids, limit, q.own, q.least, q.step, q.planes, q.total
+
+    # shards of the grid: as many of codes as keep all cores busy, and of either as its size asks for
+    code_bytes, query_bytes = bits // 8 + 24, bits // 8 * PLANES + 48
+    number = asked.count()
+    blocks = -(-rows // BLOCK_ROWS)
+    rows_of = max(1, min(blocks, max(4 * spark.sparkContext.defaultParallelism, -(-rows * code_bytes // SHARD_BYTES))))
+    columns_of = max(1, -(-number * query_bytes // SHARD_BYTES))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = _packed(good, BLOCK_ROWS, 4, coded).withColumn("down", F.pmod("block", F.lit(rows_of))).withColumn("across", spread(columns_of)).drop("block")
+    parts = max(1, min(4 * spark.sparkContext.defaultParallelism, number // QUERY_ROWS))
+    right = _packed(asked.repartition(parts, "vec_id"), QUERY_ROWS, 7, turned).withColumn("across", F.pmod("block", F.lit(columns_of))).withColumn("down", spread(rows_of))
+    right = right.drop("block").withColumnsRenamed({f"data{i}": f"query{i}" for i in range(7)})
+
+    def each(batches):
         for batch in batches:
-            for ids, data, query_ids, query_data in zip(*(batch.column(c).to_pylist() for c in ("ids", "data", "query_ids", "query_data"))):
-                own, v = np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, size)
-                q, asked = np.frombuffer(query_ids, np.int64), np.frombuffer(query_data).reshape(-1, size)
-                if ids not in cache:
-                    cache = {ids: encode(model, v)}
-                limit = np.full(len(q), np.inf)
-                if len(model.sample_ids) > k:
-                    for i in range(len(q)):
-                        d = ((model.sample - asked[i]) ** 2).sum(axis=1)
-                        d[model.sample_ids == q[i]] = np.inf
-                        limit[i] = np.sqrt(np.partition(d, k - 1)[k - 1])
-                n, found, score = nearest(model, own, v, cache[ids], q, asked, limit, k, errors)
-                yield pa.RecordBatch.from_arrays([pa.array(q[n]), pa.array(found), pa.array(score)], ["query_id", "vec_id", "score"])
-
-    met = left.join(right.hint("shuffle_hash"), "shard").select("ids", "data", "query_ids", "query_data")
-    best = met.mapInArrow(each, "query_id long, vec_id long, score double")
+            for row in zip(*(batch.column(f"data{i}") for i in range(4)), *(batch.column(f"query{i}") for i in range(7))):
+                data = [x.as_buffer() for x in row]
+                kinds = np.int64, np.uint64, *[np.float64] * 2, np.int64, *[np.float64] * 4, np.uint64, np.float64
+                ids, codes, length, inner, query_ids, limit, own, least, step, planes, total = (np.frombuffer(x, t) for x, t in zip(data, kinds))
+                codes = codes.reshape(-1, words)
+                ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
+                asked = Queries(own, least, step, planes.reshape(-1, PLANES, words), total)
+                out = []
+                for i, query_id in enumerate(query_ids.tolist()):
+                    low, high = _bounds(bits, codes, ones, length, inner, asked, i, errors)
+                    high[ids == query_id] = np.inf
+                    cut = limit[i] * (1 + 1e-9)
+                    if len(ids) > k:
+                        cut = min(cut, np.partition(high, k - 1)[k - 1])
+                    at = np.flatnonzero((low <= cut) & (ids != query_id))
+                    out.append((np.full(len(at), query_id), ids[at], low[at], high[at]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "vec_id", "low", "high"])
+        tidy()
+
+    met = left.join(right.hint("merge"), ["down", "across"]).drop("down", "across")
+    found = met.mapInArrow(each, "query_id long, vec_id long, low double, high double")
+    whole = Window.partitionBy("query_id").orderBy("high").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cut = F.coalesce(F.nth_value("high", k).over(whole), F.lit(float("inf")))
+    chosen = found.withColumn("cut", cut).where("low <= cut").select("query_id", "vec_id").distinct()
+    chosen = chosen.join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").join(good, "vec_id")
+    squares = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y)
+    chosen = chosen.select("query_id", "vec_id", F.sqrt(squares).alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return chosen.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,3 +93,37 @@ def test_urls(spark, monkeypatch, limit):
     more = (*urls.RULES, urls.Rule("block", "d.e.net", "/f"), urls.Rule("allow", "x.net", "/fr/"), urls.Rule("block", "x.net", "/fr/"))
     got = urls.verdicts(pages, more).collect()
     assert counted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got) == counted((i, *plain_verdict(u, more)) for i, u in URLS)
+
+
+@pytest.mark.parametrize("shard_bytes", [64 << 20, 20_000])
+def test_repeated_ids_and_lengths(spark, monkeypatch, shard_bytes):
+    """Each pair of rows counts, whatever ids repeat; each length is searched by itself; the grid
+    has many shards either way or few."""
+    monkeypatch.setattr(ann, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 8)
+    rng = np.random.default_rng(9)
+    rows = [(100 * i if i % 3 == 0 else i, rng.standard_normal(24 if i % 4 else 16).tolist()) for i in range(600)]
+    rows += rows[:40] + [(5, r) for _, r in rows[50:60]] + [(300, rows[1][1])]
+    rows = [(i, np.array(v, np.float32).tolist()) for i, v in rows]
+    docs = frame(spark, rows)
+    got = ann.search(docs, docs.where("vec_id % 100 = 0")).collect()
+    pairs: dict = {}
+    for q, x in rows:
+        if q % 100 == 0:
+            pairs.setdefault((q, len(x)), []).extend((float(ann.distances(np.array([x]), np.array([v]))[0]), i) for i, v in rows if i != q and len(v) == len(x))
+    want = [(q, r + 1, i, d) for (q, _), near in pairs.items() for r, (d, i) in enumerate(sorted(near)[:10])]
+    assert counted(got) == counted(want)
+
+
+def test_popcounts_are_inner_products():
+    rng = np.random.default_rng(10)
+    vectors = rng.standard_normal((300, 40))
+    model = ann.fit(np.arange(300), vectors)
+    codes, length, inner = ann.encode(model, vectors)
+    signs = np.unpackbits(codes, axis=1, count=model.bits) * 2.0 - 1
+    low, high = ann.bounds(model, codes, length, inner, vectors[:20], ann.ERRORS)
+    residual = vectors[:20] - model.centre
+    product = (residual @ model.turn) @ signs.T / np.sqrt(model.bits)
+    own = (residual**2).sum(axis=1)[:, None]
+    assert np.abs((low + high) / 2 - (own + length**2 - 2 * product / inner * length)).max() < 0.15 * own.max()
