@@ -10,12 +10,12 @@ step away (2 * segments + 1 rows), which turns the range-join into grouping by
 cell, and the groups are then verified exactly.
 
 Only distinct fingerprints take part, so thousands of exact copies count as one.
-A cell of up to ``crowd`` fingerprints compares its pairs; in a larger one each
-fingerprint is given its one-bit neighbours that lie in the cell, and
-fingerprints with a neighbour in common are linked to the smallest of them.  This
-is exact as well (Hamming distance 2 or less means a common one-bit neighbour),
-and as at most 65 fingerprints have a given one-bit neighbour, no group is large
-however many near copies there are.
+A cell of up to ``crowd`` fingerprints compares its pairs.  A larger one is refined: its
+fingerprints are put into the cells of the finest grid that lie in it, that of 64
+segments of one bit, where a step along an axis flips a bit.  As at most 65 fingerprints
+are within one step of a point there, no cell is large however many near copies there are,
+and those that share a cell are linked to its smallest.  A fingerprint has 65 such
+cells, and only those in crowded cells of the coarse grid are made.
 """
 
 from __future__ import annotations
@@ -82,8 +82,9 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(each, "doc_id long, fp long")
 
 
-def _cells(segments: int) -> tuple[Column, Column]:
-    """The grid cell of column fp, and the array of it and those one step away."""
+def _cells(segments: int) -> list[Column]:
+    """The grid cell of column fp, then for each segment the cells one step up and one step down,
+    null beyond the grid."""
     width = 64 // segments
     field = width.bit_length()  # bits that hold a count of 0 to width
     counts = [F.bit_count(F.shiftrightunsigned("fp", width * s).bitwiseAND(F.lit((1 << width) - 1))).cast("long") for s in range(segments)]
@@ -93,7 +94,7 @@ def _cells(segments: int) -> tuple[Column, Column]:
     near = [own]
     for s, c in enumerate(counts):
         near += [F.when(c < width, own + F.lit(1 << field * s)), F.when(c > 0, own - F.lit(1 << field * s))]
-    return own, F.array_compact(F.array(*near))
+    return near
 
 
 def links(prints: DataFrame, *, segments: int = 16, crowd: int = 12) -> DataFrame:
@@ -101,9 +102,8 @@ def links(prints: DataFrame, *, segments: int = 16, crowd: int = 12) -> DataFram
     components are those of all pairs with 2 or fewer differing bits."""
     if 64 % segments or segments * (64 // segments).bit_length() > 63:
         raise ValueError("segments must divide 64, with all counts fitting in a long: 1, 2, 4, 8 or 16")
-    _, near = _cells(segments)
-    own, _ = _cells(segments)
-    rows = prints.select("fp", F.explode(near).alias("cell"))
+    width = 64 // segments
+    rows = prints.select("fp", F.posexplode(F.array(*_cells(segments))).alias("step", "cell")).where("cell IS NOT NULL")
     shared = rows.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(shared, "cell")
     pairs = (
@@ -120,12 +120,18 @@ def links(prints: DataFrame, *, segments: int = 16, crowd: int = 12) -> DataFram
         )
         .select("e.u", "e.v")
     )
-    flips = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
-    keys = rows.where(F.col("n") > crowd).select("cell", F.col("fp").alias("from"), F.explode(flips).alias("fp"))
+    # the cells of the finest grid in a crowded cell: the fingerprint itself in its own, and in one a step up or
+    # down in a segment, those in which a bit of that segment is set or cleared
+    first = f"{width} * ((step - 1) DIV 2)"
+    fine = F.expr(
+        f"IF(step = 0, array(fp), transform(filter(sequence(CAST({first} AS INT), CAST({first} + {width - 1} AS INT)),"
+        " b -> (shiftrightunsigned(fp, b) & 1) = (step - 1) % 2), b -> fp ^ shiftleft(1L, b)))"
+    )
     stars = (
-        keys.where(own == F.col("cell"))
-        .groupBy("fp")
-        .agg(F.collect_set("from").alias("all"))  # 65 at most
+        rows.where(F.col("n") > crowd)
+        .select("fp", F.explode(fine).alias("cell"))
+        .groupBy("cell")
+        .agg(F.collect_set("fp").alias("all"))  # 65 at most
         .where(F.size("all") > 1)
         .select(F.array_min("all").alias("v"), F.explode("all").alias("u"))
         .where("u <> v")

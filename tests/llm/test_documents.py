@@ -360,3 +360,21 @@ def test_forgetting_changes_nothing():
     once = [machine.encode(t) for t in rows]
     machine.forget(2000)
     assert machine.held <= 2200 and [machine.encode(t) for t in rows] == once
+
+
+def test_simhash_of_long_texts(spark):
+    """Texts of more shingles than a byte counts, and longer than a batch's share, whole."""
+    rows = [(1, "word " * 30_000 + "end"), (2, " ".join(f"W{i % 977}" for i in range(40_000))), (3, "word " * 30_001 + "end"), (4, "x" * 300_000), (5, None)]
+    want = [(i, f"{plain_fingerprint(t):016x}") for i, t in rows]
+    got = simhash.near_duplicates(table(spark, rows)).selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) AS fingerprint").collect()
+    assert counted(got) == counted(want)
+
+
+def test_refined_cells_are_few(spark):
+    """A fingerprint has 65 cells of the finest grid at most, over all its crowded cells."""
+    from pyspark.sql import functions as F
+
+    prints = spark.createDataFrame([(i,) for i in (0, -1, 5, 1 << 62, 0x0F0F0F0F0F0F0F0F)], "fp long")
+    cells = prints.select("fp", F.array_compact(F.array(*simhash._cells(16))).alias("c")).collect()
+    for r in cells:
+        assert len(set(r.c)) == len(r.c) <= 33
