@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import threading
 import time
-from collections.abc import Collection, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import dataclass
 from pprint import pformat
 
@@ -17,8 +18,8 @@ from .plans.planner import build
 from .plans.session import SETTINGS
 from .sources.csv import CsvOptions, read_csv
 from .sources.generator import Generator, Markov, generate
-from .sources.store import Store
-from .streaming.ingest import EventBuffer, Value, check_row, stream_into
+from .sources.store import KEEP_SECONDS, Store
+from .streaming.ingest import EventBuffer, Value, Waiting, check_row, stamped, stream_into
 from .streaming.wal import MARK, WriteAheadLog
 
 
@@ -26,14 +27,24 @@ from .streaming.wal import MARK, WriteAheadLog
 class EngineConfig:
     """``path``: folder of the database, None to keep tables in the session.  ``buffer_bytes``:
     events held back before they become a segment.  ``combine_segments``: segments of about
-    one size that are merged when events are flushed.  ``write_ahead``: log what ``ingest``
-    gets before it returns, where there is a path.  ``compat``: "sql" or "store",
-    see ``plans.planner.build``.  ``extensions``: what the dialect adds to its core."""
+    one size that are merged when events are flushed.  ``write_ahead``: log what ``ingest`` and
+    ``log`` get before they return, where there is a path; ``log_bytes``: what the log may take
+    before events are flushed.  While they are, those who bring more wait.  ``flush_seconds`` and
+    ``metrics_seconds``: how often events are flushed and counters recorded by themselves, 0
+    for never.  ``keep_seconds``: how long merged segments stay readable.  ``threads``: requests
+    that a server answers at a time.  ``compat``: "sql" or "store", see ``plans.planner.build``.
+    ``extensions``: what the dialect adds to its core.  ``sorted_groups``: groups in the order of
+    their keys also where the query has neither an order nor a limit."""
 
     path: str | None = None
     buffer_bytes: int = 64 << 20
     combine_segments: int = 16
     write_ahead: bool = True
+    log_bytes: int = 256 << 20
+    flush_seconds: float = 0
+    metrics_seconds: float = 0
+    keep_seconds: float = KEEP_SECONDS
+    threads: int = 16
     compat: str = "sql"
     extensions: bool = True
     sorted_groups: bool = True
@@ -44,6 +55,8 @@ class EngineConfig:
             raise ValueError("compat is sql or store")
         if self.buffer_bytes < 0 or self.combine_segments < 2:
             raise ValueError("buffer_bytes can't be negative, and two segments are the fewest to combine")
+        if min(self.log_bytes, self.flush_seconds, self.metrics_seconds, self.keep_seconds) < 0 or self.threads < 1:
+            raise ValueError("sizes and times can't be negative, and one thread is the fewest")
 
 
 class Engine:
@@ -51,6 +64,7 @@ class Engine:
 
     ``sql`` gives a DataFrame; ``query_rows`` and ``query_cols`` run the query.  Events given
     to ``ingest`` and ``log`` are seen by queries at once and become files with ``flush``.
+    Threads may share an engine, and engines a folder.
     """
 
     def __init__(self, spark: SparkSession, config: EngineConfig = EngineConfig()):
@@ -59,12 +73,40 @@ class Engine:
         self.spark, self.config = spark, config
         self.store = Store(spark, config.path)
         self.buffer = EventBuffer(config.buffer_bytes)
-        self.counters = {"queries": 0, "rows_ingested": 0, "flushes": 0, "segments_combined": 0}
+        self.counters = {"queries": 0, "rows_ingested": 0, "flushes": 0, "segments_combined": 0, "rows_scanned": 0, "files_opened": 0, "bytes_of_files": 0}
         self._before: dict[str, float] = {}
+        self._events, self._flushing = threading.RLock(), threading.RLock()
+        self._logged, self._closed = 0, threading.Event()
         self.log_file = WriteAheadLog(self.store) if config.path and config.write_ahead else None
-        for table, rows in self.log_file.replay() if self.log_file else ():
-            for row in rows:
-                self.buffer.add_row(table, row)
+        self.recover()
+        for seconds, what in ((config.flush_seconds, self.flush), (config.metrics_seconds, self.record_metrics)):
+            if seconds:
+                threading.Thread(target=self._every, args=(seconds, what), daemon=True).start()
+
+    def _every(self, seconds: float, what: Callable[[], None]) -> None:
+        while not self._closed.wait(seconds):
+            try:
+                what()
+            except Exception:  # tried again at the next turn; rows stay in the buffer and the log
+                self.counters["failed_turns"] = self.counters.get("failed_turns", 0) + 1
+
+    def close(self) -> None:
+        """Flush, and end what runs by itself."""
+        self._closed.set()
+        self.flush()
+
+    def recover(self) -> int:
+        """Take in what others have committed, and the logged rows that no segment has and
+        this engine does not hold; returns their number."""
+        n = 0
+        with self._events:
+            for name in list(self.store.tables):
+                self.store.refresh(name)
+            for table, rows, batch in self.log_file.replay() if self.log_file else ():
+                for row in rows:
+                    self.buffer.add_row(table, row, batch)
+                n += len(rows)
+        return n
 
     # tables
 
@@ -78,10 +120,11 @@ class Engine:
         """All rows of a table, those not yet flushed too."""
         if (meta := self.store.meta(name)) is not None:
             return meta
-        waiting = self.buffer.segment(self.spark, name)
-        if waiting is None and name not in self.store.names():
-            raise Unsupported(f"there is no table {name}")
-        return self.store.read(name, *([waiting] if waiting else []))
+        with self._events:
+            waiting = self.buffer.segments(self.spark, name)
+            if not waiting and name not in self.store.names():
+                raise Unsupported(f"there is no table {name}")
+            return self.store.read(name, *waiting)
 
     def load_csv(self, path: str | Sequence[str], table: str, options: CsvOptions = CsvOptions()) -> int:
         """Append CSV files to a table; returns its segments' number of rows now."""
@@ -107,34 +150,59 @@ class Engine:
         """Rows, each with the columns that it has."""
         for row in rows:
             check_row(row)
-        if self.log_file and rows:
-            self.log_file.write(table, rows)
-        for row in rows:
-            self.buffer.add_row(table, row)
-        self._grown(len(rows))
+        with self._events:
+            batch = None
+            if self.log_file and rows:
+                batch = self.log_file.write(table, rows)
+                self._logged += sum(len(c) + len(str(v)) for row in rows for c, v in row.items())
+            for row in rows:
+                self.buffer.add_row(table, row, batch)
+            self.counters["rows_ingested"] += len(rows)
+            full = self.buffer.full or self._logged > self.config.log_bytes
+        if full:
+            self.flush()
 
     def log(self, table: str, event: Mapping[str, Value]) -> None:
-        """One event, with the time in ``timestamp`` if it has none.  It is not logged to a
-        file by itself: it is lost with the driver unless flushed."""
-        self.buffer.add(table, event)
-        self._grown(1)
-
-    def _grown(self, rows: int) -> None:
-        self.counters["rows_ingested"] += rows
-        if self.buffer.full:
-            self.flush()
+        """One event, with the time in ``timestamp`` if it has none."""
+        self.ingest_rows(table, [stamped(event)])
 
     def flush(self) -> None:
-        """Make segments of all events, and merge those of tables that have too many."""
-        marks = {MARK: self.log_file.last} if self.log_file else None
-        for table in list(self.buffer.rows):
-            frame = self.buffer.frame(self.spark, table)
-            self.store.append(table, frame, rows=len(self.buffer.rows[table]), marks=marks)
-            self.buffer.clear(table)
-            self.counters["segments_combined"] += self.store.compact_tiers(table, self.config.combine_segments)
-        if self.log_file:
-            self.log_file.clear()
-        self.counters["flushes"] += 1
+        """Make segments of all events, and merge those of tables that have too many.  Rows that
+        another engine has flushed meanwhile, having found them in the log, are not added."""
+        with self._flushing:
+            with self._events:
+                if not self.buffer.frozen:  # else the last flush failed: its rows come first
+                    self.buffer.freeze()
+                    self._logged = 0
+            for table, waiting in list(self.buffer.frozen.items()):
+                self._write(table, waiting)
+                self.counters["segments_combined"] += self.store.compact_tiers(table, self.config.combine_segments)
+                self.store.vacuum(table, self.config.keep_seconds)
+            if self.log_file:
+                with self._events:
+                    self.log_file.clear()
+            self.counters["flushes"] += 1
+
+    def _write(self, table: str, waiting: Waiting) -> None:
+        while True:
+            left = waiting.without(lambda batch: self.log_file is not None and self.log_file.done(table, batch))
+            marks: dict[str, int] = {}
+            for batch in left.batches:
+                if batch is not None:
+                    marks[f"{MARK}/{batch[1]}"] = max(batch[0], marks.get(f"{MARK}/{batch[1]}", -1))
+            known = self.store.tables[table].batches if table in self.store.tables else {}
+            expected = {m: known.get(m, -1) for m in marks}
+            frame = left.frame(self.spark) if left.rows else None
+            # queries must find the rows in the buffer or in the segment, and not in both
+            def done() -> None:
+                self.buffer.frozen.pop(table, None)
+
+            if frame is None:
+                with self._events:
+                    done()
+                return
+            if self.store.append(table, frame, rows=len(left.rows), marks=marks, expected=expected, around=(self._events, done)):
+                return
 
     def compact(self, table: str, files: int | None = None) -> int:
         """Merge all segments of a table."""
@@ -160,15 +228,10 @@ class Engine:
         df = self.sql(text)
         with translated():
             rows = [list(r) for r in df.collect()]
-        stats = {"runtime_ns": time.perf_counter_ns() - began, "rows": len(rows), "rows_scanned": self._rows_of(parse(text, self.config.extensions).table), "files": len(df.inputFiles())}
-        return {"colnames": df.columns, "rows": rows, "stats": stats}
-
-    def _rows_of(self, table: str) -> int | None:
-        """Rows of a table in segments and buffer; None for a registered DataFrame."""
-        if table in self.store.views:
-            return None
-        kept = self.store.tables.get(table)
-        return (sum(s.rows for s in kept.segments) if kept else 0) + len(self.buffer.rows.get(table, ()))
+        read = scanned(df)
+        for counter, what in (("rows_scanned", "rows_scanned"), ("files_opened", "files"), ("bytes_of_files", "file_bytes")):
+            self.counters[counter] += read[what]
+        return {"colnames": df.columns, "rows": rows, "stats": {"runtime_ns": time.perf_counter_ns() - began, "rows": len(rows), **read}}
 
     def query_cols(self, text: str, mantissa: int | None = None, full_precision: Collection[str] = ()) -> dict:
         """{"colnames", "cols", "stats"}; cols has a list for each name (the last of equal
@@ -230,12 +293,42 @@ class Engine:
         for name, value in self.counters.items():
             event[name] = float(value)
             if self._before:
-                event[f"{name}.rate"] = (value - self._before[name]) / max(now - self._before["timestamp"], 1e-9)
+                event[f"{name}.rate"] = (value - self._before.get(name, 0)) / max(now - self._before["timestamp"], 1e-9)
         self._before = {"timestamp": now, **self.counters}
-        self.buffer.add_row(self.config.metrics_table, event)
+        with self._events:
+            self.buffer.add_row(self.config.metrics_table, event)
 
     def evict_cache(self) -> None:
-        self.spark.catalog.clearCache()
+        """Take this database's own segments out of memory, and nobody else's tables; they
+        are computed again when read."""
+        for table in self.store.tables.values():
+            for s in table.segments:
+                if s.frame is not None:
+                    s.frame.unpersist()
+
+
+def scanned(df: DataFrame) -> dict[str, int]:
+    """What a query that has run has read: rows that came out of its scans, files that these opened,
+    and the bytes of those."""
+    out = {"rows_scanned": 0, "files": 0, "file_bytes": 0}
+
+    def walk(plan) -> None:
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        if plan.children().isEmpty():
+            metrics = plan.metrics()
+            for key, metric in (("rows_scanned", "numOutputRows"), ("files", "numFiles"), ("file_bytes", "filesSize")):
+                if metrics.contains(metric):
+                    out[key] += metrics.apply(metric).value()
+        for i in range(plan.children().size()):
+            walk(plan.children().apply(i))
+        return None
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return out
 
 
 class Client:

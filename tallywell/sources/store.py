@@ -3,21 +3,28 @@
 A table's catalog is a small JSON file: the names and kinds of its columns, and its
 segments, each a folder of Parquet files with the columns it was written with.  A
 column may be missing in a segment, where it is NULL, and may have a narrower kind,
-from which it is cast: int widens to float, and either to string.  A commit replaces
-the catalog, so readers see a segment as a whole or not at all, and segments are
-never changed.  Columns have made-up names in the files, which allow any logical name.
+from which it is cast: int widens to float, and either to string.  Columns have made-up
+names in the files, which allow any logical name.
+
+A commit writes the next version of the catalog, under a name that only one writer can
+create; one that comes second reads what the first has committed and adds its change to that.
+So readers see a segment as a whole or not at all, segments are never changed, and no
+writer's segments are lost.  Segments that were merged stay on disk for a while, as queries
+planned before may read them; the catalog names them until ``vacuum`` deletes them.
 
 Without a root folder tables live in the session: segments are DataFrames.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import math
 import re
+import threading
 import time
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from urllib.parse import quote, unquote
 
@@ -29,6 +36,8 @@ from ..plans.errors import FatalError
 
 #: Rows of a file that merging makes, on average.
 FILE_ROWS = 4_000_000
+#: Seconds for which merged segments stay, and older versions of a catalog that stay.
+KEEP_SECONDS, KEEP_VERSIONS = 24 * 3600, 8
 _RANK = {NULL: 0, BOOL: 1, INT: 1, FLOAT: 2, STR: 3}
 
 
@@ -56,6 +65,8 @@ class Table:
     columns: dict[str, str] = field(default_factory=dict)
     segments: list[Segment] = field(default_factory=list)
     batches: dict[str, int] = field(default_factory=dict)  # the last batch of each stream
+    merged: list[tuple[str, float]] = field(default_factory=list)  # paths that were merged, and when
+    version: int = -1
 
     def widen(self, columns: Sequence[tuple[str, str]]) -> None:
         for name, kind in columns:
@@ -63,13 +74,13 @@ class Table:
 
     def to_json(self) -> str:
         segments = [{"columns": s.columns, "path": s.path, "rows": s.rows} for s in self.segments]
-        return json.dumps({"name": self.name, "created": self.created, "columns": self.columns, "segments": segments, "batches": self.batches})
+        return json.dumps({"name": self.name, "created": self.created, "columns": self.columns, "segments": segments, "batches": self.batches, "merged": self.merged})
 
     @classmethod
-    def from_json(cls, text: str) -> Table:
+    def from_json(cls, text: str, version: int) -> Table:
         x = json.loads(text)
         segments = [Segment([tuple(c) for c in s["columns"]], s["path"], rows=s["rows"]) for s in x["segments"]]
-        return cls(x["name"], x["created"], x["columns"], segments, x["batches"])
+        return cls(x["name"], x["created"], x["columns"], segments, x["batches"], [tuple(m) for m in x["merged"]], version)
 
 
 class Files:
@@ -92,20 +103,46 @@ class Files:
         finally:
             stream.close()
 
+    def _write(self, name: str, text: str) -> None:
+        stream = self.fs.create(self._path(name), True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
     def replace(self, name: str, text: str) -> None:
         """Write a file under another name first, so a reader finds the old one or the new."""
         other = f"{name}.{uuid.uuid4().hex}"
-        stream = self.fs.create(self._path(other), True)
+        self._write(other, text)
+        self._rename(other, name, "OVERWRITE")
+
+    def create(self, name: str, text: str) -> bool:
+        """Write a file as a whole unless there is one of that name; whether it was written."""
+        other = f"{name}.{uuid.uuid4().hex}"
+        self._write(other, text)
+        local = self.fs.getScheme() == "file"
         try:
-            stream.write(bytearray(text.encode()))
+            if local:  # a link is made by one of several writers only, which renaming does not ensure here
+                paths = self.jvm.java.nio.file.Paths
+                place = lambda n: paths.get(self._path(n).toUri().getPath(), self.gateway.new_array(self.jvm.java.lang.String, 0))
+                self.jvm.java.nio.file.Files.createLink(place(name), place(other))
+            else:
+                self._rename(other, name, "NONE")
+            return True
+        except Exception as e:
+            if "FileAlreadyExists" not in str(e):
+                raise
+            return False
         finally:
-            stream.close()
+            self.fs.delete(self._path(other), False)
+
+    def _rename(self, old: str, new: str, how: str) -> None:
         qualify = lambda p: self._path(p).makeQualified(self.fs.getUri(), self.fs.getWorkingDirectory())
         rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
         options = self.gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
+        options[0] = getattr(rename, how)
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
-        context.rename(qualify(other), qualify(name), options)
+        context.rename(qualify(old), qualify(new), options)
 
     def names(self, folder: str) -> list[str]:
         if not self.fs.exists(self._path(folder)):
@@ -115,6 +152,10 @@ class Files:
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
 
+    def size(self, name: str) -> int:
+        """Bytes of a file or a folder."""
+        return self.fs.getContentSummary(self._path(name)).getLength() if self.fs.exists(self._path(name)) else 0
+
 
 class Store:
     """All tables of a database."""
@@ -124,14 +165,21 @@ class Store:
         self.files = Files(spark, self.root) if self.root else None
         self.tables: dict[str, Table] = {}
         self.views: dict[str, DataFrame] = {}
+        self.lock = threading.RLock()
         for name in self.files.names("_catalog") if self.files else []:
-            if name.endswith(".json"):
-                self.refresh(unquote(name[:-5]))
+            self.refresh(unquote(name))
+
+    def _versions(self, name: str) -> list[int]:
+        return sorted(int(n[:-5]) for n in self.files.names(f"_catalog/{quote(name, safe='')}") if re.fullmatch(r"\d+\.json", n))
 
     def refresh(self, name: str) -> None:
         """Take in what other writers have committed to a table."""
-        if self.files and (text := self.files.read(f"_catalog/{quote(name, safe='')}.json")):
-            self.tables[name] = Table.from_json(text)
+        while self.files and (versions := self._versions(name)):
+            text = self.files.read(f"_catalog/{quote(name, safe='')}/{versions[-1]:012d}.json")
+            if text is not None:  # else it was old already when it was to be read
+                with self.lock:
+                    self.tables[name] = Table.from_json(text, versions[-1])
+                return
 
     def register(self, name: str, df: DataFrame) -> None:
         """Make a DataFrame a table that can be queried, and not be appended to."""
@@ -150,10 +198,12 @@ class Store:
             self.tables[name] = Table(name, int(time.time()))
         return self.tables[name]
 
-    def append(self, name: str, df: DataFrame, *, stream: str | None = None, batch: int = 0, rows: int | None = None, marks: Mapping[str, int] | None = None) -> bool:
+    def append(self, name: str, df: DataFrame, *, stream: str | None = None, batch: int = 0, rows: int | None = None, marks: Mapping[str, int] | None = None, expected: Mapping[str, int] | None = None, around: tuple | None = None) -> bool:
         """Add the rows of ``df`` as a segment; columns of types that the dialect lacks are
         kept as JSON text.  A stream's batch that was committed before adds nothing.
-        ``marks`` are kept among the batches without that test."""
+        ``marks`` are kept among the batches without that test; with ``expected`` nothing is
+        added if one of these has another value meanwhile (-1: none).  ``around`` is a lock
+        that is held for the commit, and what to call under it once it is done."""
         table = self.table(name)
         if stream is not None and table.batches.get(stream, -1) >= batch:
             return False
@@ -174,17 +224,45 @@ class Store:
         else:
             frame = frame.cache()
             segment = Segment(columns, frame=frame, rows=frame.count())
-        table.segments.append(segment)
-        table.widen(columns)
-        if stream is not None:
-            table.batches[stream] = batch
-        table.batches.update(marks or {})
-        self.commit(table)
-        return True
-
-    def commit(self, table: Table) -> None:
-        if self.files:
-            self.files.replace(f"_catalog/{quote(table.name, safe='')}.json", table.to_json())
+
+        def change(table: Table) -> bool:
+            if stream is not None and table.batches.get(stream, -1) >= batch:
+                return False
+            if any(table.batches.get(k, -1) != v for k, v in (expected or {}).items()):
+                return False
+            table.segments.append(segment)
+            table.widen(columns)
+            if stream is not None:
+                table.batches[stream] = batch
+            table.batches.update(marks or {})
+            return True
+
+        lock, after = around or (contextlib.nullcontext(), lambda: None)
+        with lock:
+            if done := self.commit(name, change):
+                after()
+        if not done:
+            self.files.delete(segment.path) if segment.path else segment.frame.unpersist()
+        return done
+
+    def commit(self, name: str, change: Callable[[Table], bool]) -> bool:
+        """Change a table's catalog, and what others have made of it meanwhile; whether
+        ``change`` did.  It may be called again, with a newer catalog."""
+        with self.lock:
+            if not self.files:
+                return change(self.table(name))
+            folder = f"_catalog/{quote(name, safe='')}"
+            while True:
+                table = self.table(name)
+                draft = Table.from_json(table.to_json(), table.version + 1)
+                if not change(draft):
+                    return False
+                if self.files.create(f"{folder}/{draft.version:012d}.json", draft.to_json()):
+                    self.tables[name] = draft
+                    for old in self._versions(name)[:-KEEP_VERSIONS]:
+                        self.files.delete(f"{folder}/{old:012d}.json")
+                    return True
+                self.refresh(name)
 
     def read(self, name: str, *extra: Segment) -> DataFrame:
         """All rows of a table.  Segments with the same columns are one scan, so there are
@@ -245,10 +323,10 @@ class Store:
             merged += self._merge(name, full, None)
 
     def _merge(self, name: str, old: list[Segment], files: int | None) -> int:
-        """Old files go once the catalog without them is committed."""
-        table = self.table(name)
-        count = sum(s.rows for s in old)
-        part = Table(name, table.created)
+        """Old files stay until ``vacuum``.  If another writer has merged one of them, its merge
+        counts and not this one."""
+        created, count = self.table(name).created, sum(s.rows for s in old)
+        part = Table(name, created)
         for s in old:
             part.segments.append(s)
             part.widen(s.columns)
@@ -256,19 +334,46 @@ class Store:
         frame = self._rows(part.segments, part.columns).toDF(*(f"c{i}" for i in range(len(columns))))
         frame = frame.coalesce(files or max(1, count // FILE_ROWS))
         if self.files:
-            path = f"{quote(name, safe='')}/{len(table.segments):06d}-{uuid.uuid4().hex}"
+            path = f"{quote(name, safe='')}/{len(self.table(name).segments):06d}-{uuid.uuid4().hex}"
             frame.write.parquet(f"{self.root}/{path}")
             made = Segment(columns, path, rows=count)
         else:
             frame = frame.cache()
             frame.count()
             made = Segment(columns, frame=frame, rows=count)
-        at = min(table.segments.index(s) for s in old)
-        table.segments = [s for s in table.segments if s not in old]
-        table.segments.insert(at, made)
-        self.commit(table)
+        gone = {s.path or id(s) for s in old}
+
+        def change(table: Table) -> bool:
+            at = [i for i, s in enumerate(table.segments) if (s.path or id(s)) in gone]
+            if len(at) < len(old):
+                return False
+            kept = [s for s in table.segments if (s.path or id(s)) not in gone]
+            table.segments = [*kept[: at[0]], made, *kept[at[0] :]]
+            table.merged += [(s.path, time.time()) for s in old if s.path]
+            return True
+
+        if not self.commit(name, change):
+            self.files.delete(made.path) if made.path else made.frame.unpersist()
+            return 0
         for s in old:
-            self.files.delete(s.path) if s.path else s.frame.unpersist()
+            if s.frame is not None:
+                s.frame.unpersist()
+        return len(old)
+
+    def vacuum(self, name: str, older_than: float = KEEP_SECONDS) -> int:
+        """Delete segments that were merged so many seconds ago; queries planned before can't
+        read them then.  Returns how many."""
+        old = [p for p, t in self.table(name).merged if t <= time.time() - older_than]
+        if not old:
+            return 0
+
+        def change(table: Table) -> bool:
+            table.merged = [m for m in table.merged if m[0] not in old]
+            return True
+
+        for path in old:
+            self.files.delete(path)
+        self.commit(name, change)
         return len(old)
 
     def meta(self, name: str) -> DataFrame | None:
@@ -291,7 +396,7 @@ class Store:
 
     def tree(self, name: str) -> list[Mapping]:
         """Place, rows, columns and bytes of each segment of a table."""
-        size = lambda s: self.files.fs.getContentSummary(self.files._path(s.path)).getLength() if s.path else 0
+        size = lambda s: self.files.size(s.path) if s.path else 0
         return [{"path": s.path, "rows": s.rows, "columns": dict(s.columns), "bytes": size(s)} for s in self.table(name).segments]
 
 
