@@ -1,6 +1,7 @@
 """A prompt for queries: ``python -m tallywell [--path FOLDER] [--load FILE.csv TABLE]``.
 
-:load FILE TABLE   :explain QUERY   :show QUERY   :ast QUERY   :table_stats   :help   exit
+:load FILE TABLE   :explain QUERY   :show QUERY (with what it read)   :ast QUERY
+:table_stats   :memtree TABLE   :recover   :flush   :compact TABLE   :help   exit
 """
 
 from __future__ import annotations
@@ -27,12 +28,23 @@ def command(engine: Engine, line: str) -> str | None:
             case ":load":
                 path, _, table = rest.partition(" ")
                 return f"{engine.load_csv(path, table or 'default')} rows"
-            case ":explain" | ":show":
+            case ":explain":
                 return engine.explain(rest)
+            case ":show":
+                return f"{engine.explain(rest)}\n{engine.query_rows(rest)['stats']}"
             case ":ast":
                 return engine.ast(rest)
-            case ":table_stats" | ":memtree":
+            case ":table_stats":
                 return "\n".join(map(str, engine.table_stats()))
+            case ":memtree":
+                return "\n".join(map(str, engine.mem_tree(rest))) if rest else "\n".join(map(str, engine.table_stats()))
+            case ":recover":
+                return f"{engine.recover()} rows"
+            case ":flush":
+                engine.flush()
+                return "done"
+            case ":compact":
+                return f"{engine.compact(rest)} segments merged"
         got = engine.query_rows(line)
         rows = [["NULL" if v is None else str(v) for v in r] for r in got["rows"]]
         widths = [max(map(len, c)) for c in zip(got["colnames"], *rows)]

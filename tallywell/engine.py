@@ -33,8 +33,9 @@ class EngineConfig:
     ``metrics_seconds``: how often events are flushed and counters recorded by themselves, 0
     for never.  ``keep_seconds``: how long merged segments stay readable.  ``threads``: requests
     that a server answers at a time.  ``compat``: "sql" or "store", see ``plans.planner.build``.
-    ``extensions``: what the dialect adds to its core.  ``sorted_groups``: groups in the order of
-    their keys also where the query has neither an order nor a limit."""
+    ``extensions``: what the dialect adds to its core.  ``sorted_groups``: DataFrames have groups in
+    the order of their keys also where the query has neither an order nor a limit, which takes one
+    more shuffle; lists of rows always have them so."""
 
     path: str | None = None
     buffer_bytes: int = 64 << 20
@@ -47,7 +48,7 @@ class EngineConfig:
     threads: int = 16
     compat: str = "sql"
     extensions: bool = True
-    sorted_groups: bool = True
+    sorted_groups: bool = False
     metrics_table: str = "_metrics"
 
     def __post_init__(self) -> None:
@@ -170,14 +171,16 @@ class Engine:
         """Make segments of all events, and merge those of tables that have too many.  Rows that
         another engine has flushed meanwhile, having found them in the log, are not added."""
         with self._flushing:
-            with self._events:
-                if not self.buffer.frozen:  # else the last flush failed: its rows come first
-                    self.buffer.freeze()
-                    self._logged = 0
-            for table, waiting in list(self.buffer.frozen.items()):
-                self._write(table, waiting)
-                self.counters["segments_combined"] += self.store.compact_tiers(table, self.config.combine_segments)
-                self.store.vacuum(table, self.config.keep_seconds)
+            retried = bool(self.buffer.frozen)  # the last flush failed: its rows come first
+            for _ in range(1 + retried):
+                with self._events:
+                    if not self.buffer.frozen:
+                        self.buffer.freeze()
+                        self._logged = 0
+                for table, waiting in list(self.buffer.frozen.items()):
+                    self._write(table, waiting)
+                    self.counters["segments_combined"] += self.store.compact_tiers(table, self.config.combine_segments)
+                    self.store.vacuum(table, self.config.keep_seconds)
             if self.log_file:
                 with self._events:
                     self.log_file.clear()
@@ -216,16 +219,16 @@ class Engine:
 
     # queries
 
-    def sql(self, text: str) -> DataFrame:
+    def sql(self, text: str, sorted_groups: bool | None = None) -> DataFrame:
         query = parse(text, self.config.extensions)
         self.counters["queries"] += 1
         with translated():
-            return build(query, self.dataframe(query.table), self.config.compat, self.config.sorted_groups)
+            return build(query, self.dataframe(query.table), self.config.compat, self.config.sorted_groups if sorted_groups is None else sorted_groups)
 
     def query_rows(self, text: str) -> dict:
         """{"colnames", "rows", "stats"}; rows are lists."""
         began = time.perf_counter_ns()
-        df = self.sql(text)
+        df = self.sql(text, sorted_groups=True)
         with translated():
             rows = [list(r) for r in df.collect()]
         read = scanned(df)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..plans.errors import QueryTypeError
@@ -27,7 +28,46 @@ def arithmetic(op: str, a: Typed, b: Typed) -> Typed:
     return Typed({"+": x.__add__, "-": x.__sub__, "*": x.__mul__, "%": x.__mod__}[op](y), kind)
 
 
+#: The comparison with its sides exchanged.
+_TURNED = {"=": "=", "<>": "<>", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
+#: Seconds since 1970 that dates and times of all types can hold.
+_FIRST, _LAST = -62_000_000_000, 250_000_000_000
+
+
+def _with_time(op: str, a: Typed, seconds: int) -> Column | None:
+    """The comparison of a stored date or time, taken as whole seconds, with a constant: on the
+    column as it is stored, so it can be pushed to the scan and skip files and row groups."""
+    if not _FIRST < seconds < _LAST:
+        return None
+    at = lambda s: F.timestamp_seconds(F.lit(s)).cast(a.time_type)
+    if a.time_type == "date":  # each day begins at its first second
+        if seconds % 86400:
+            op = {"<": "<=", ">=": ">"}.get(op, op)
+            if op in ("=", "<>"):
+                return None
+        day = at(seconds - seconds % 86400)
+        return {"=": a.time == day, "<>": a.time != day, "<": a.time < day, "<=": a.time <= day, ">": a.time > day, ">=": a.time >= day}[op]
+    begin, end = at(seconds), at(seconds + 1)
+    match op:
+        case "=":
+            return (a.time >= begin) & (a.time < end)
+        case "<>":
+            return (a.time < begin) | (a.time >= end)
+        case "<":
+            return a.time < begin
+        case "<=":
+            return a.time < end
+        case ">":
+            return a.time >= end
+        case _:
+            return a.time >= begin
+
+
 def comparison(op: str, a: Typed, b: Typed) -> Typed:
+    if b.time is not None and a.value is not None:
+        op, a, b = _TURNED[op], b, a
+    if a.time is not None and b.value is not None and (got := _with_time(op, a, b.value)) is not None:
+        return Typed(got, BOOL)
     kind = common(op, a, b)
     if NULL in (a.kind, b.kind):
         return Typed(F.lit(None).cast("boolean"), BOOL)

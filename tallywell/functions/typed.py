@@ -16,10 +16,16 @@ SPARK = {INT: "long", FLOAT: "double", STR: "string", BOOL: "boolean", NULL: "st
 
 @dataclass(frozen=True)
 class Typed:
-    """A column and its kind.  The kind null has the value NULL in every row."""
+    """A column and its kind.  The kind null has the value NULL in every row.
+
+    ``value`` is that of a constant integer.  ``time`` is the column as it is stored where that
+    is a date or a time, of type ``time_type``: compared as it is, a scan can skip by it."""
 
     column: Column
     kind: str
+    value: int | None = None
+    time: Column | None = None
+    time_type: str = ""
 
     def as_(self, kind: str) -> Column:
         if self.kind == NULL:
@@ -51,6 +57,11 @@ def stored(column: Column, kind: T.DataType) -> Column | None:
     return None if known is None else column.cast(SPARK[known])
 
 
+def time_type(kind: T.DataType) -> str:
+    """Spark's name of a type of dates or times, and nothing for others."""
+    return kind.simpleString() if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else ""
+
+
 def numbers(what: str, *args: Typed) -> str:
     """The kind in which numbers of these kinds are combined."""
     for a in args:

@@ -24,7 +24,7 @@ def literal(value) -> Typed:
     if isinstance(value, int):
         if not _LEAST <= value <= _MOST:
             return Typed(F.lit(float(value)), FLOAT)
-        return Typed(F.lit(value).cast("long"), INT)
+        return Typed(F.lit(value).cast("long"), INT, value)
     return Typed(F.lit(value), FLOAT if isinstance(value, float) else STR)
 
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.typed import BOOL, NULL, SPARK, Typed, kind_of, stored
+from ..functions.typed import BOOL, NULL, SPARK, Typed, kind_of, stored, time_type
 from ..plans.errors import QueryTypeError
 
 
@@ -29,7 +29,10 @@ def scan(df: DataFrame, wanted: Sequence[str]) -> tuple[DataFrame, dict[str, Typ
         if column is None:
             raise QueryTypeError(f"column {name} has a type that queries can't read: {fields[i].dataType.simpleString()}")
         chosen.append(column.alias(f"c{i}"))
-        columns[name] = Typed(F.col(f"c{i}"), kind_of(fields[i].dataType))
+        time = time_type(fields[i].dataType)
+        if time:
+            chosen.append(F.col(f"c{i}").alias(f"t{i}"))
+        columns[name] = Typed(F.col(f"c{i}"), kind_of(fields[i].dataType), time=F.col(f"t{i}") if time else None, time_type=time)
     return renamed.select(*chosen) if chosen else renamed, columns
 
 

@@ -54,6 +54,15 @@ QUERIES: dict[str, tuple[str, str]] = {
     "filter_int_float": ("SELECT l_orderkey FROM lineitem WHERE l_linenumber >= 2.5", "SELECT l_orderkey FROM lineitem WHERE l_linenumber >= 2.5"),
     "filter_float_int": ("SELECT l_orderkey FROM lineitem WHERE l_quantity > 30", "SELECT l_orderkey FROM lineitem WHERE l_quantity > 30"),
     "filter_columns": ("SELECT l_orderkey FROM lineitem WHERE l_partkey < l_suppkey * 20", "SELECT l_orderkey FROM lineitem WHERE l_partkey < l_suppkey * 20"),
+    # dates and times against seconds: pushed to the scan as they are stored
+    "filter_time_lt": ("SELECT event_id FROM events WHERE ts < 1704200000", "SELECT event_id FROM events WHERE floor(epoch(ts)) < 1704200000"),
+    "filter_time_lte": ("SELECT event_id FROM events WHERE ts <= 1704200000", "SELECT event_id FROM events WHERE floor(epoch(ts)) <= 1704200000"),
+    "filter_time_gt": ("SELECT o_orderkey FROM orders WHERE o_orderdate > 800000000", "SELECT o_orderkey FROM orders WHERE epoch(o_orderdate) > 800000000"),
+    "filter_time_gte_turned": ("SELECT l_orderkey FROM lineitem WHERE 800064000 <= l_shipdate", "SELECT l_orderkey FROM lineitem WHERE epoch(l_shipdate) >= 800064000"),
+    "filter_time_eq": ("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate = 800064000", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem WHERE epoch(l_shipdate) = 800064000"),
+    "filter_time_ne": ("SELECT COUNT(1) AS c FROM lineitem WHERE l_shipdate <> 800064000", "SELECT count(*) AS c FROM lineitem WHERE epoch(l_shipdate) <> 800064000"),
+    "filter_time_between": ("SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN 750000000 AND 850000000 AND NOT o_orderdate IN (800064000, 800150400)", "SELECT o_orderkey FROM orders WHERE epoch(o_orderdate) BETWEEN 750000000 AND 850000000 AND NOT epoch(o_orderdate) IN (800064000, 800150400)"),
+    "project_time_compare": ("SELECT event_id, ts >= 1704200000 AS late FROM events", "SELECT event_id, floor(epoch(ts)) >= 1704200000 AS late FROM events"),
     "filter_string_eq": ("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'"),
     "filter_string_order": ("SELECT o_orderkey FROM orders WHERE o_orderpriority > '3'", "SELECT o_orderkey FROM orders WHERE o_orderpriority > '3'"),
     "filter_and_or_not": (
@@ -224,6 +233,20 @@ def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, a batch of rows at a time, through a small buffer: it is flushed by its size
+    again and again, and segments are merged in tiers; the last rows stay in the buffer."""
+    db = Engine(spark, EngineConfig(path=scratch_folder(spark, "events"), buffer_bytes=1 << 20, combine_segments=4))
+    batch: list[dict] = []
+    for row in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value").toLocalIterator():
+        batch.append(row.asDict() if row.event_id % 3 else {k: v for k, v in row.asDict().items() if k != "value"})
+        if len(batch) == 2000:
+            db.ingest_rows("e", batch)
+            batch = []
+    db.ingest_rows("e", batch)
+    return db.sql("SELECT event_type, COUNT(1) AS c, COUNT(value) AS n, SUM(event_id) AS s, MIN(user_id) AS u, MAX(value) AS m FROM e")
+
+
 #: key: (function, DuckDB's SQL)
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "store_compat_counts": (_store_compat, f"SELECT CAST(l_linenumber AS BIGINT) AS l_linenumber, nullif(count(line), 0) AS c FROM {SPARSE_SQL} GROUP BY 1"),
@@ -239,6 +262,10 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         _ingest,
         "SELECT CAST(n_nationkey + CASE WHEN n < 12 THEN 0 ELSE 0.5 END AS DOUBLE) AS key, CASE WHEN n < 12 THEN CAST(n_regionkey AS BIGINT) END AS region, CASE WHEN n >= 12 THEN n_name END AS name FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS n FROM nation)",
     ),
+    "ingest_events": (
+        _ingest_events,
+        "SELECT event_type, count(*) AS c, count(value) FILTER (event_id % 3 <> 0) AS n, CAST(sum(event_id) AS BIGINT) AS s, min(user_id) AS u, max(value) FILTER (event_id % 3 <> 0) AS m FROM events GROUP BY 1",
+    ),
     "stream_ingest": (_stream, "SELECT event_type, count(*) AS c, CAST(sum(event_id) AS BIGINT) AS s, max(value) AS m FROM events GROUP BY 1"),
     "generated_table": (
         _generated,
