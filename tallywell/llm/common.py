@@ -8,10 +8,12 @@ tasks that it was running.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import functools
 import gc
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -37,7 +39,9 @@ def _ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     top = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(), f"{top.name}.zip")  # the driver serves it from here
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder, f"{top.name}.zip")  # the driver serves it from here until it ends
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, p.relative_to(top.parent))

@@ -104,11 +104,14 @@ def verdicts(pages: DataFrame, rules: Sequence[Rule] = RULES, *, url_col: str =
         F.max(F.struct(F.length("_rule").alias("n"), (F.col("_action") == "block").alias("b"), F.col("_rule").alias("r"), F.col("_action").alias("a"))).alias("_best")
     )
     host, path = host_and_path(F.col(url_col))
-    out = pages.join(best, pages[url_col] == best["_url"], "left")
-    return out.select(
-        *(pages[c] for c in names), host.alias("host"), path.alias("path"),
+    named = pages.where(F.col(url_col).isNotNull())
+    found = named.join(best, named[url_col] == best["_url"], "left").select(
+        *(named[c] for c in names), host.alias("host"), path.alias("path"),
         F.col("_best.r").alias("rule"), F.coalesce("_best.a", F.lit(default)).alias("verdict"),
     )
+    # null URLs, which may be many, are not dealt out by their key
+    nameless = pages.where(F.col(url_col).isNull()).select(*names, host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    return found.union(nameless)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
