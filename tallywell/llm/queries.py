@@ -19,6 +19,8 @@ QUERIES = {
 
 SQL = {
     "op2_nearest": ann.OP2_SQL,
+    "op3_suffix_array": suffix.OP3_SQL,
     "op4_quality_rules": quality.OP4_SQL,
     "op5_url_filter": urls.OP5_SQL,
+    "op7_substring": substring.OP7_SQL,
 }

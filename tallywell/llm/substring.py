@@ -339,3 +339,19 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What repeated windows of 13 words take from each document."""
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same in DuckDB, window by window.
+OP7_SQL = r"""
+WITH w AS (
+  SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents)
+), k AS (
+  SELECT doc_id, i, array_to_string(list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING), ' ') AS run, i + 12 <= max(i) OVER (PARTITION BY doc_id) AS whole FROM w
+), hits AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY run) AS least FROM k WHERE whole) WHERE doc_id > least
+), gone AS (SELECT DISTINCT doc_id, i + o.range AS i FROM hits, range(13) AS o),
+kept AS (
+  SELECT doc_id, count(*) AS n, count(g.i) AS r, coalesce(string_agg(word, ' ' ORDER BY w.i) FILTER (g.i IS NULL), '') AS t FROM w LEFT JOIN (SELECT doc_id AS d, i FROM gone) AS g ON g.d = doc_id AND g.i = w.i GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
+"""

@@ -371,3 +371,19 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What repeated strings of 50 bytes take from each document."""
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same in DuckDB, on hexadecimal digits, string by string.
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS string FROM (SELECT doc_id, h, unnest(range(strlen(h) // 2 - 49)) AS i FROM d WHERE strlen(h) >= 100)),
+hits AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY string) AS least FROM s) WHERE doc_id > least),
+marks AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM hits),
+spans AS (
+  SELECT doc_id, min(i) AS b, max(i) + 50 AS e FROM (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM marks) GROUP BY doc_id, n
+), ends AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS a FROM spans),
+kept AS (
+  SELECT doc_id, sum(e - b) AS r, count(*) AS n, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY b) || substr(any_value(h), 2 * max(e) + 1) AS t FROM ends JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
