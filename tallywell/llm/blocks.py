@@ -38,6 +38,7 @@ CHUNK_BYTES = 1 << 19
 FLUSH_BYTES = 16 << 20
 #: Bits of a rid, and of a key where false matches do no harm.
 SHORT = 40
+MASK = np.uint64((1 << SHORT) - 1)
 #: A key that more documents have is dealt in finer parts, and so many bytes of such keys are known to all tasks at most.
 HOT_DOCUMENTS, HOT_BYTES = 20_000, 16 << 20
 
@@ -171,7 +172,7 @@ def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         yield begin, len(texts)
 
 
-def anchor_entries(rows: DataFrame, anchors: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], doc_buckets: int, key_buckets: int) -> DataFrame:
+def anchor_entries(rows: DataFrame, anchors: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], doc_buckets: int, key_buckets: int, flush: int = FLUSH_BYTES) -> DataFrame:
     """Blocks of the anchors of all texts.  ``anchors`` takes texts and returns
     the text's number and the 64-bit key of each anchor.
 
@@ -217,7 +218,7 @@ def anchor_entries(rows: DataFrame, anchors: Callable[[list[bytes]], tuple[np.nd
             doc, key = anchors(got)
             parts.append((*(batch.column(c).to_numpy(zero_copy_only=False) for c in WHOSE), doc.astype(np.int32) + np.int32(base), key))
             base, held = base + len(got), held + sum(map(len, got))
-            if held >= FLUSH_BYTES:
+            if held >= flush:
                 yield flushed(*map(np.concatenate, zip(*parts)))
                 parts, base, held = [], 0, 0
         if parts:
