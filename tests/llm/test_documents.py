@@ -346,11 +346,11 @@ def test_sentencepiece_columns(spark, tmp_path):
     model = sp.SentencePieceProcessor(model_file=pieces.model_path())
     docs = table(spark)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.doc_id, r.n_ids, r.ids_crc32, bytes(r.ids), r.round_trip, r.text) for r in pieces.op6_sentencepiece(spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in pieces.op6_sentencepiece(spark, str(tmp_path)).collect()}
     want = set()
     for i, t in texts():
         ids = np.array(model.encode(t or ""), "<u4").tobytes()
-        want.add((i, len(ids) // 4, zlib.crc32(ids), ids, True, t or ""))
+        want.add((i, len(ids) // 4, zlib.crc32(ids), True))
     assert got == want
 
 
