@@ -103,7 +103,8 @@ def links(prints: DataFrame, *, segments: int = 16, crowd: int = 12) -> DataFram
     if 64 % segments or segments * (64 // segments).bit_length() > 63:
         raise ValueError("segments must divide 64, with all counts fitting in a long: 1, 2, 4, 8 or 16")
     width = 64 // segments
-    rows = prints.select("fp", F.posexplode(F.array(*_cells(segments))).alias("step", "cell")).where("cell IS NOT NULL")
+    own, *_ = cells = _cells(segments)
+    rows = prints.select("fp", F.explode(F.array_compact(F.array(*cells))).alias("cell"))
     shared = rows.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(shared, "cell")
     pairs = (
@@ -122,13 +123,14 @@ def links(prints: DataFrame, *, segments: int = 16, crowd: int = 12) -> DataFram
     )
     # the cells of the finest grid in a crowded cell: the fingerprint itself in its own, and in one a step up or
     # down in a segment, those in which a bit of that segment is set or cleared
-    first = f"{width} * ((step - 1) DIV 2)"
+    first = f"CAST({width} * (bit_count(abs(step) - 1) DIV {width.bit_length()}) AS INT)"
     fine = F.expr(
-        f"IF(step = 0, array(fp), transform(filter(sequence(CAST({first} AS INT), CAST({first} + {width - 1} AS INT)),"
-        " b -> (shiftrightunsigned(fp, b) & 1) = (step - 1) % 2), b -> fp ^ shiftleft(1L, b)))"
+        f"IF(step = 0, array(fp), transform(filter(sequence({first}, {first} + {width - 1}),"
+        " b -> (shiftrightunsigned(fp, b) & 1) = IF(step > 0, 0, 1)), b -> fp ^ shiftleft(1L, b)))"
     )
     stars = (
         rows.where(F.col("n") > crowd)
+        .withColumn("step", F.col("cell") - own)
         .select("fp", F.explode(fine).alias("cell"))
         .groupBy("cell")
         .agg(F.collect_set("fp").alias("all"))  # 65 at most
