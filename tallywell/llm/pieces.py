@@ -42,7 +42,7 @@ from .common import configure, slices, texts, tidy
 
 #: Bytes of encoded stretches that a task keeps before it starts afresh, and that a worker keeps for
 #: its next task; of a stretch, bytes besides its own and its ids'; pairs of pieces that are kept.
-MOST_KEPT, KEPT, _EACH, MOST_PAIRS = 64 << 20, 24 << 20, 180, 400_000
+MOST_KEPT, KEPT, _EACH, MOST_PAIRS = 160 << 20, 96 << 20, 180, 400_000
 #: Name of the public model file.
 MODEL = "piece_bpe_32k.model"
 
