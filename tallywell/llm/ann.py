@@ -11,11 +11,11 @@ estimates the one with the vector without bias, and the scalars and the rounding
 width of a confidence interval.
 
 Blocks of codes and blocks of queries meet in a grid of shards, both of bounded size, by an
-equi-join.  A pair of blocks gives the vectors whose least possible distance is within
+equi-join.  A pair of blocks measures exactly the vectors whose least possible distance is within
 the query's threshold: the least of the k-th greatest possible distance in the block and the
-k-th distance in a bounded sample of the rows, which is computed once with the query.  The
-k-th greatest possible distance over all blocks then decides which vectors are fetched and
-measured exactly.
+k-th distance in a bounded sample of the rows, which is computed once with the query.  Each
+pair gives the k nearest for each of its queries.  Vectors travel with their codes: one pair in
+eight is measured, and fetching these by a join would move more.
 """
 
 from __future__ import annotations
@@ -218,7 +218,7 @@ def _search(good: DataFrame, asked: DataFrame, size: int, rows: int, k: int, err
     bits, words = model.bits, model.bits // 64
 
     def coded(ids, v):
-        return ids, *encode(fitted.value, v)
+        return ids, *encode(fitted.value, v), v
 
     def turned(ids, v):
         model = fitted.value
@@ -229,27 +229,27 @@ def _search(good: DataFrame, asked: DataFrame, size: int, rows: int, k: int, err
                 d[model.sample_ids == ids[i]] = np.inf
                 limit[i] = np.partition(d, k - 1)[k - 1]
         q = Queries.of(model, v)
-        return ids, limit, q.own, q.least, q.step, q.planes, q.total
+        return ids, limit, q.own, q.least, q.step, q.planes, q.total, v
 
     # shards of the grid: as many of codes as keep all cores busy, and of either as its size asks for
-    code_bytes, query_bytes = bits // 8 + 24, bits // 8 * PLANES + 48
+    code_bytes, query_bytes = bits // 8 + 24 + 8 * size, bits // 8 * PLANES + 48 + 8 * size
     number = asked.count()
     blocks = -(-rows // BLOCK_ROWS)
     rows_of = max(1, min(blocks, max(4 * spark.sparkContext.defaultParallelism, -(-rows * code_bytes // SHARD_BYTES))))
     columns_of = max(1, -(-number * query_bytes // SHARD_BYTES))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = _packed(good, BLOCK_ROWS, 4, coded).withColumn("down", F.pmod("block", F.lit(rows_of))).withColumn("across", spread(columns_of)).drop("block")
+    left = _packed(good, BLOCK_ROWS, 5, coded).withColumn("down", F.pmod("block", F.lit(rows_of))).withColumn("across", spread(columns_of)).drop("block")
     parts = max(1, min(4 * spark.sparkContext.defaultParallelism, number // QUERY_ROWS))
-    right = _packed(asked.repartition(parts, "vec_id"), QUERY_ROWS, 7, turned).withColumn("across", F.pmod("block", F.lit(columns_of))).withColumn("down", spread(rows_of))
-    right = right.drop("block").withColumnsRenamed({f"data{i}": f"query{i}" for i in range(7)})
+    right = _packed(asked.repartition(parts, "vec_id"), QUERY_ROWS, 8, turned).withColumn("across", F.pmod("block", F.lit(columns_of))).withColumn("down", spread(rows_of))
+    right = right.drop("block").withColumnsRenamed({f"data{i}": f"query{i}" for i in range(8)})
 
     def each(batches):
         for batch in batches:
-            for row in zip(*(batch.column(f"data{i}") for i in range(4)), *(batch.column(f"query{i}") for i in range(7))):
+            for row in zip(*(batch.column(f"data{i}") for i in range(5)), *(batch.column(f"query{i}") for i in range(8))):
                 data = [x.as_buffer() for x in row]
-                kinds = np.int64, np.uint64, *[np.float64] * 2, np.int64, *[np.float64] * 4, np.uint64, np.float64
-                ids, codes, length, inner, query_ids, limit, own, least, step, planes, total = (np.frombuffer(x, t) for x, t in zip(data, kinds))
-                codes = codes.reshape(-1, words)
+                kinds = np.int64, np.uint64, *[np.float64] * 3, np.int64, *[np.float64] * 4, np.uint64, *[np.float64] * 2
+                ids, codes, length, inner, v, query_ids, limit, own, least, step, planes, total, q = (np.frombuffer(x, t) for x, t in zip(data, kinds))
+                codes, v, q = codes.reshape(-1, words), v.reshape(-1, size), q.reshape(-1, size)
                 ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
                 asked = Queries(own, least, step, planes.reshape(-1, PLANES, words), total)
                 out = []
@@ -260,19 +260,15 @@ def _search(good: DataFrame, asked: DataFrame, size: int, rows: int, k: int, err
                     if len(ids) > k:
                         cut = min(cut, np.partition(high, k - 1)[k - 1])
                     at = np.flatnonzero((low <= cut) & (ids != query_id))
-                    out.append((np.full(len(at), query_id), ids[at], low[at], high[at]))
+                    score = distances(v[at], np.broadcast_to(q[i], (len(at), size)))
+                    best = np.lexsort((ids[at], score))[:k]
+                    out.append((np.full(len(best), query_id), ids[at][best], score[best]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "vec_id", "low", "high"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "vec_id", "score"])
         tidy()
 
     met = left.join(right.hint("merge"), ["down", "across"]).drop("down", "across")
-    found = met.mapInArrow(each, "query_id long, vec_id long, low double, high double")
-    whole = Window.partitionBy("query_id").orderBy("high").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cut = F.coalesce(F.nth_value("high", k).over(whole), F.lit(float("inf")))
-    chosen = found.withColumn("cut", cut).where("low <= cut").select("query_id", "vec_id").distinct()
-    chosen = chosen.join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").join(good, "vec_id")
-    squares = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y)
-    chosen = chosen.select("query_id", "vec_id", F.sqrt(squares).alias("score"))
+    chosen = met.mapInArrow(each, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return chosen.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
