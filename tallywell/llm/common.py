@@ -27,6 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows and bytes that Spark puts into one Arrow batch.  Long texts make the byte
 #: limit the one that counts.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: States that the driver's SQL parser keeps for its next texts, some 10 KB each.  Without a bound
+#: every new order of a cascade's rules would leave several MB there.
+PARSER_STATES = 2000
 
 
 #: Applications whose executors have this package.
@@ -78,6 +81,8 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        spark.conf.set("spark.sql.parser.manageParserCaches", "true")
+        spark.conf.set("spark.sql.parser.parserDfaCacheFlushThreshold", PARSER_STATES)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
