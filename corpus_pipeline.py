@@ -4,7 +4,8 @@ Each stage calls one operator of ``tallywell.llm`` on all that the stage before
 has kept, and its decisions take effect: documents that a quality rule rejects and
 near copies go, repeated passages are cut out, secrets are replaced by their
 kind, and what is left is packed.  Texts that lose all they have stay as empty
-documents.  Near copies are texts whose 5-word shingles overlap by 0.8 or more;
+documents.  Near copies are texts whose 5-word shingles overlap by 0.8 or more: SimHash's
+grid finds those at 2 or fewer bits, shared shingles the rest, and all are verified.
 ``op1_simhash`` keeps its contract's 3 words and 2 differing bits.
 
 Null texts are rejected by the quality rules like empty ones; ids may be null, and

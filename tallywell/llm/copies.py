@@ -1,6 +1,11 @@
 """Near copies: texts whose sets of word shingles overlap by 0.8 or more (Jaccard).
 
-Equal sets, by 128 bits, count as one.  First each shingle that no other text has is found out,
+Equal sets, by 128 bits, count as one.  Texts whose SimHash fingerprints, of the same shingles,
+link at 2 or fewer bits (simhash.grouped: segment popcounts, a range-join on the grid) are
+compared with the first of their component.  Near copies can differ in more bits, which no grid
+reaches; these have shingles in common, by which they are found without loss.
+
+For that, each shingle that no other text has is found out,
 by an exchange of all shingles' keys (blocks.shared_anchors).  A set of n shingles of which fewer
 than 0.8 n are shared has no near copy and is left out, so texts that have only passages in
 common with others cost nothing more.  Two similar sets share 0.8 n or more, so under any one
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 from . import blocks
 from .common import Workspace, configure, raw, slices, tidy
 from .components import connected_components
-from .simhash import hashes
+from .simhash import grouped, hashes, majority
 
 #: Words of a shingle; and pairs count from a Jaccard similarity of 4 / 5.
 WORDS = 5
@@ -265,13 +270,15 @@ def near_copies(docs: DataFrame, *, text_col: str = "text", words: int = WORDS,
 
     def each(batches):
         for batch in slices(batches, text_col, BYTES):
-            got = [shingle_set(x, words) for x in raw(batch.column(1))]
+            all_hashes = [hashes(x, words) for x in raw(batch.column(1))]
+            prints = np.array([majority(h) for h in all_hashes], np.uint64).view(np.int64)
+            got = [np.unique(h) for h in all_hashes]
             digests = np.array([(d >> 64, d % 2**64) for d in (xxhash.xxh3_128_intdigest(s.tobytes()) for s in got)], np.uint64).reshape(-1, 2).view(np.int64)
-            columns = [batch.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(s) for s in got], pa.int64()), pa.array([parities(s) for s in got], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["_row", "d1", "d2", "n", "bits"])
+            columns = [batch.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(s) for s in got], pa.int64()), pa.array([parities(s) for s in got], pa.list_(pa.int64())), pa.array(prints)]
+            yield pa.RecordBatch.from_arrays(columns, ["_row", "d1", "d2", "n", "bits", "fp"])
         tidy()
 
-    made = rows.select("_row", text_col).mapInArrow(each, "_row long, d1 long, d2 long, n long, bits array<long>")
+    made = rows.select("_row", text_col).mapInArrow(each, "_row long, d1 long, d2 long, n long, bits array<long>, fp long")
     sets = work.save(made, "sets")
     firsts = sets.groupBy("d1", "d2").agg(F.min("_row").alias("node"))
     members = work.save(sets.select("_row", "d1", "d2").join(firsts, ["d1", "d2"]).select("_row", "node"), "members")
@@ -279,6 +286,8 @@ def near_copies(docs: DataFrame, *, text_col: str = "text", words: int = WORDS,
     unique = rows.join(F.broadcast(again) if again.count() <= MOST_PAIRS else again, "_row", "left_anti")
     rid, text = F.xxhash64("_row").bitwiseAND(F.lit((1 << blocks.SHORT) - 1)), F.coalesce(text_col, F.lit(""))
     unique = unique.select(rid.alias("rid"), F.col("_row").alias("doc_id"), F.lit(0).cast("long").alias("check"), text.alias("text"))
+    prints = work.save(sets.join(members.where("_row = node").select("_row"), "_row").select(F.col("_row").alias("doc_id"), "fp"), "prints")
+    near = grouped(prints, Workspace(spark, "copies")).where("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
     keys = _keys(unique, words, work)
 
     own = sets.select(F.col("_row").alias("node"), *(F.col("bits")[k].alias(c) for k, c in enumerate(_BITS)))
@@ -290,25 +299,29 @@ def near_copies(docs: DataFrame, *, text_col: str = "text", words: int = WORDS,
         work.drop(f"{name}_pairs")
         return out
 
-    def apart(links: DataFrame) -> DataFrame:
-        """The keys with the texts' groups, where texts in several groups meet."""
-        roots = connected_components(links, Workspace(spark, "copies")).select(F.col("node").alias("_node"), "root")
+    def apart(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The keys with the texts' groups, where texts in several groups meet; and as fewer links, each text's to
+        the first of its group."""
+        stars = connected_components(links, Workspace(spark, "copies")).select(F.col("node").alias("u"), F.col("root").alias("v"))
+        roots = stars.select(F.col("u").alias("_node"), F.col("v").alias("root"))
         out = keys.join(roots, F.col("node") == F.col("_node"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         split = out.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-        return met.join(out.join(split, "key", "left_semi"), ["key", "node"]).repartition("key")
+        return met.join(out.join(split, "key", "left_semi"), ["key", "node"]).repartition("key"), stars
 
     def chosen(pairs: DataFrame) -> DataFrame:
         """One for each text, as most of what is likely is similar and links do the rest."""
         return pairs.groupBy("u").agg(F.min("v").alias("v"))
 
     first = met.repartition("key").sortWithinPartitions("key", "node")
-    links = verified(chosen(first.mapInArrow(_firsts, "u long, v long")), "links")
+    links = verified(near.union(chosen(first.mapInArrow(_firsts, "u long, v long"))), "links")
     for turn in range(2):
-        left = apart(links).sortWithinPartitions("key", "n", "node")
+        left, links = apart(links)
+        left = left.sortWithinPartitions("key", "n", "node")
         links = links.union(verified(chosen(left.mapInArrow(lambda x: _pairs(x, max(1, crowd - 1)), "u long, v long")), f"more{turn}"))
-    left = apart(links).sortWithinPartitions("key")
+    left, links = apart(links)
+    left = left.sortWithinPartitions("key")
     links = links.union(verified(left.mapInArrow(_unlinked, "u long, v long"), "rest"))
-    work.drop("sets", "keys", "all_keys", "met")
+    work.drop("sets", "prints", "keys", "all_keys", "met")
     roots = connected_components(links, Workspace(spark, "copies"))
     groups = members.join(roots, "node", "left").select("_row", F.coalesce("root", "node").alias("_group"))
     return rows, groups

@@ -55,7 +55,11 @@ def hashes(text: bytes, words: int = 3, seed: int = 42) -> np.ndarray:
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     """The 64 majority bits of the shingles' hashes; 0 for a text without words."""
-    h = hashes(text, words, seed)
+    return majority(hashes(text, words, seed))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are 1 in over half of the hashes."""
     n = len(h)
     if not n:
         return 0
@@ -154,9 +158,13 @@ def near_duplicates(
     ``seed`` fix the shingles' hashes.  ``segments`` sets the grid: 16 leaves one
     pair of unrelated fingerprints in three million to verify.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "simhash")
+    work = Workspace(docs.sparkSession, "simhash")
     prints = work.save(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seed=seed), "prints")
+    return grouped(prints, work, segments=segments, crowd=crowd)
+
+
+def grouped(prints: DataFrame, work: Workspace, *, segments: int = 16, crowd: int = 12) -> DataFrame:
+    """The same for rows (doc_id, fp) that are written already."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     # the join needs a list that does not change between its two uses
     distinct = work.save(distinct, "distinct")
