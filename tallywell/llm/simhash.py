@@ -110,7 +110,8 @@ def links(prints: DataFrame, *, segments: int = 16, crowd: int = 12) -> DataFram
     own, *_ = cells = _cells(segments)
     rows = prints.select("fp", F.explode(F.array_compact(F.array(*cells))).alias("cell"))
     shared = rows.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(shared, "cell")
+    # Spark sizes the cells as if each fingerprint had one, and would broadcast what is 33 times as large
+    rows = rows.join(shared.hint("merge"), "cell")
     pairs = (
         rows.where(F.col("n") <= crowd)
         .groupBy("cell")
