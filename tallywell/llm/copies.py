@@ -253,7 +253,7 @@ def _keys(unique: DataFrame, words: int, work: Workspace) -> DataFrame:
     keys = work.save(keys, "all_keys")
     work.drop("answers")
     met = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    return work.save(keys.join(met, "key", "left_semi"), "keys")
+    return work.save(keys.join(met.hint("merge"), "key", "left_semi"), "keys")  # both are far larger than their files
 
 
 def near_copies(docs: DataFrame, *, text_col: str = "text", words: int = WORDS, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
@@ -286,7 +286,8 @@ def near_copies(docs: DataFrame, *, text_col: str = "text", words: int = WORDS,
     unique = rows.join(F.broadcast(again) if again.count() <= MOST_PAIRS else again, "_row", "left_anti")
     rid, text = F.xxhash64("_row").bitwiseAND(F.lit((1 << blocks.SHORT) - 1)), F.coalesce(text_col, F.lit(""))
     unique = unique.select(rid.alias("rid"), F.col("_row").alias("doc_id"), F.lit(0).cast("long").alias("check"), text.alias("text"))
-    prints = work.save(sets.join(members.where("_row = node").select("_row"), "_row").select(F.col("_row").alias("doc_id"), "fp"), "prints")
+    own = members.where("_row = node").select("_row").hint("merge")  # numbers in sequence take a byte or two in files
+    prints = work.save(sets.join(own, "_row").select(F.col("_row").alias("doc_id"), "fp"), "prints")
     near = grouped(prints, Workspace(spark, "copies")).where("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
     keys = _keys(unique, words, work)
 
