@@ -19,7 +19,7 @@ from .plans.session import SETTINGS
 from .sources.csv import CsvOptions, read_csv
 from .sources.generator import Generator, Markov, generate
 from .sources.store import KEEP_SECONDS, Store
-from .streaming.ingest import EventBuffer, Value, Waiting, check_row, stamped, stream_into
+from .streaming.ingest import EventBuffer, Value, Waiting, stamped, stream_into, survey
 from .streaming.wal import MARK, WriteAheadLog
 
 
@@ -104,8 +104,7 @@ class Engine:
             for name in list(self.store.tables):
                 self.store.refresh(name)
             for table, rows, batch in self.log_file.replay() if self.log_file else ():
-                for row in rows:
-                    self.buffer.add_row(table, row, batch)
+                self.buffer.add_rows(table, rows, survey(rows), batch)
                 n += len(rows)
         return n
 
@@ -149,15 +148,13 @@ class Engine:
 
     def ingest_rows(self, table: str, rows: Sequence[Mapping[str, Value]]) -> None:
         """Rows, each with the columns that it has."""
-        for row in rows:
-            check_row(row)
+        surveyed = survey(rows)
         with self._events:
             batch = None
             if self.log_file and rows:
                 batch = self.log_file.write(table, rows)
-                self._logged += sum(len(c) + len(str(v)) for row in rows for c, v in row.items())
-            for row in rows:
-                self.buffer.add_row(table, row, batch)
+                self._logged += self.log_file.latest
+            self.buffer.add_rows(table, rows, surveyed, batch)
             self.counters["rows_ingested"] += len(rows)
             full = self.buffer.full or self._logged > self.config.log_bytes
         if full:
@@ -190,21 +187,22 @@ class Engine:
         while True:
             left = waiting.without(lambda batch: self.log_file is not None and self.log_file.done(table, batch))
             marks: dict[str, int] = {}
-            for batch in left.batches:
+            for batch in set(left.batches):
                 if batch is not None:
                     marks[f"{MARK}/{batch[1]}"] = max(batch[0], marks.get(f"{MARK}/{batch[1]}", -1))
             known = self.store.tables[table].batches if table in self.store.tables else {}
             expected = {m: known.get(m, -1) for m in marks}
-            frame = left.frame(self.spark) if left.rows else None
             # queries must find the rows in the buffer or in the segment, and not in both
             def done() -> None:
                 self.buffer.frozen.pop(table, None)
 
-            if frame is None:
+            if not left.rows:
                 with self._events:
                     done()
                 return
-            if self.store.append(table, frame, rows=len(left.rows), marks=marks, expected=expected, around=(self._events, done)):
+            direct = self.store.files and left.columns
+            data = left.table() if direct else left.frame(self.spark)
+            if self.store.append(table, data, columns=left.columns if direct else None, rows=len(left.rows), marks=marks, expected=expected, around=(self._events, done)):
                 return
 
     def compact(self, table: str, files: int | None = None) -> int:

@@ -238,8 +238,11 @@ def _ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     again and again, and segments are merged in tiers; the last rows stay in the buffer."""
     db = Engine(spark, EngineConfig(path=scratch_folder(spark, "events"), buffer_bytes=1 << 20, combine_segments=4))
     batch: list[dict] = []
-    for row in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value").toLocalIterator():
-        batch.append(row.asDict() if row.event_id % 3 else {k: v for k, v in row.asDict().items() if k != "value"})
+    for event, user, kind, value in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value").toLocalIterator():
+        row = {"event_id": event, "user_id": user, "event_type": kind}
+        if event % 3:
+            row["value"] = value
+        batch.append(row)
         if len(batch) == 2000:
             db.ingest_rows("e", batch)
             batch = []

@@ -18,6 +18,8 @@ Without a root folder tables live in the session: segments are DataFrames.
 from __future__ import annotations
 
 import contextlib
+import functools
+import io
 import json
 import math
 import re
@@ -28,6 +30,9 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from urllib.parse import quote, unquote
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +41,8 @@ from ..plans.errors import FatalError
 
 #: Rows of a file that merging makes, on average.
 FILE_ROWS = 4_000_000
+#: Bytes that are handed to the file system at a time.
+PIECE = 1 << 20
 #: Seconds for which merged segments stay, and older versions of a catalog that stay.
 KEEP_SECONDS, KEEP_VERSIONS = 24 * 3600, 8
 _RANK = {NULL: 0, BOOL: 1, INT: 1, FLOAT: 2, STR: 3}
@@ -89,10 +96,18 @@ class Files:
     def __init__(self, spark: SparkSession, root: str):
         self.jvm, self.conf, self.gateway = spark._jvm, spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway
         self.root = root.rstrip("/")
+        hadoop = self.jvm.org.apache.hadoop.fs  # each name on the way to a class is asked of the JVM, so classes are kept
+        self._new_path, self._renames, self._contexts = hadoop.Path, getattr(hadoop, "Options$Rename"), hadoop.FileContext
         self.fs = self._path("").getFileSystem(self.conf)
+        self.uri, self.local = self.fs.getUri(), self.fs.getScheme() == "file"
+        self._raw = self.fs.getRawFileSystem() if is_instance_of(self.gateway, self.fs, "org.apache.hadoop.fs.FilterFileSystem") else self.fs
+        nio = self.jvm.java.nio.file
+        self._nio, self._paths, self._none = nio.Files, nio.Paths, self.gateway.new_array(self.jvm.java.lang.String, 0)
+        self._atomic = self.gateway.new_array(nio.CopyOption, 1)
+        self._atomic[0] = nio.StandardCopyOption.ATOMIC_MOVE
 
     def _path(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return self._new_path(f"{self.root}/{name}" if name else self.root)
 
     def read(self, name: str) -> str | None:
         if not self.fs.exists(self._path(name)):
@@ -103,29 +118,35 @@ class Files:
         finally:
             stream.close()
 
-    def _write(self, name: str, text: str) -> None:
-        stream = self.fs.create(self._path(name), True)
+    def _place(self, name: str):
+        return self._paths.get(self._path(name).toUri().getPath(), self._none)
+
+    def write(self, name: str, data: bytes, fs=None) -> None:
+        stream = (fs or self.fs).create(self._path(name), True)
         try:
-            stream.write(bytearray(text.encode()))
+            for at in range(0, len(data), PIECE):
+                stream.write(bytearray(data[at : at + PIECE]))
         finally:
             stream.close()
 
     def replace(self, name: str, text: str) -> None:
         """Write a file under another name first, so a reader finds the old one or the new."""
         other = f"{name}.{uuid.uuid4().hex}"
-        self._write(other, text)
-        self._rename(other, name, "OVERWRITE")
+        if self.local:  # Hadoop's renaming starts two processes here; without checksums there is one file to move
+            self.write(other, text.encode(), self._raw)
+            self._nio.deleteIfExists(self._place(re.sub("([^/]*)$", r".\1.crc", name, count=1)))
+            self._nio.move(self._place(other), self._place(name), self._atomic)
+        else:
+            self.write(other, text.encode())
+            self._rename(other, name, "OVERWRITE")
 
     def create(self, name: str, text: str) -> bool:
         """Write a file as a whole unless there is one of that name; whether it was written."""
         other = f"{name}.{uuid.uuid4().hex}"
-        self._write(other, text)
-        local = self.fs.getScheme() == "file"
+        self.write(other, text.encode())
         try:
-            if local:  # a link is made by one of several writers only, which renaming does not ensure here
-                paths = self.jvm.java.nio.file.Paths
-                place = lambda n: paths.get(self._path(n).toUri().getPath(), self.gateway.new_array(self.jvm.java.lang.String, 0))
-                self.jvm.java.nio.file.Files.createLink(place(name), place(other))
+            if self.local:  # a link is made by one of several writers only, which renaming does not ensure here
+                self._nio.createLink(self._place(name), self._place(other))
             else:
                 self._rename(other, name, "NONE")
             return True
@@ -137,12 +158,18 @@ class Files:
             self.fs.delete(self._path(other), False)
 
     def _rename(self, old: str, new: str, how: str) -> None:
-        qualify = lambda p: self._path(p).makeQualified(self.fs.getUri(), self.fs.getWorkingDirectory())
-        rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
-        options = self.gateway.new_array(rename, 1)
-        options[0] = getattr(rename, how)
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
-        context.rename(qualify(old), qualify(new), options)
+        qualify = lambda p: self._path(p).makeQualified(self.uri, self.fs.getWorkingDirectory())
+        self._context.rename(qualify(old), qualify(new), self._how(how))
+
+    @functools.cached_property
+    def _context(self):
+        return self._contexts.getFileContext(self.uri, self.conf)
+
+    @functools.cache  # noqa: B019
+    def _how(self, how: str):
+        options = self.gateway.new_array(self._renames, 1)
+        options[0] = getattr(self._renames, how)
+        return options
 
     def names(self, folder: str) -> list[str]:
         if not self.fs.exists(self._path(folder)):
@@ -198,15 +225,19 @@ class Store:
             self.tables[name] = Table(name, int(time.time()))
         return self.tables[name]
 
-    def append(self, name: str, df: DataFrame, *, stream: str | None = None, batch: int = 0, rows: int | None = None, marks: Mapping[str, int] | None = None, expected: Mapping[str, int] | None = None, around: tuple | None = None) -> bool:
+    def append(self, name: str, df: DataFrame | pa.Table, *, columns: list[tuple[str, str]] | None = None, stream: str | None = None, batch: int = 0, rows: int | None = None, marks: Mapping[str, int] | None = None, expected: Mapping[str, int] | None = None, around: tuple | None = None) -> bool:
         """Add the rows of ``df`` as a segment; columns of types that the dialect lacks are
         kept as JSON text.  A stream's batch that was committed before adds nothing.
         ``marks`` are kept among the batches without that test; with ``expected`` nothing is
         added if one of these has another value meanwhile (-1: none).  ``around`` is a lock
-        that is held for the commit, and what to call under it once it is done."""
+        that is held for the commit, and what to call under it once it is done.  An Arrow table,
+        of rows in the driver with ``columns`` c0, c1 and so on of these names and kinds, becomes one
+        file without a Spark job."""
         table = self.table(name)
         if stream is not None and table.batches.get(stream, -1) >= batch:
             return False
+        if isinstance(df, pa.Table):
+            return self._add(name, self._file(name, df, columns), stream, batch, marks, expected, around)
         columns, chosen = [], []
         renamed = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
         for i, f in enumerate(df.schema.fields):
@@ -224,14 +255,22 @@ class Store:
         else:
             frame = frame.cache()
             segment = Segment(columns, frame=frame, rows=frame.count())
+        return self._add(name, segment, stream, batch, marks, expected, around)
+
+    def _file(self, name: str, data: pa.Table, columns: list[tuple[str, str]]) -> Segment:
+        path, out = f"{quote(name, safe='')}/{len(self.table(name).segments):06d}-{uuid.uuid4().hex}", io.BytesIO()
+        pq.write_table(data, out)
+        self.files.write(f"{path}/part-0.parquet", out.getvalue())
+        return Segment(columns, path, rows=data.num_rows)
 
+    def _add(self, name: str, segment: Segment, stream: str | None, batch: int, marks: Mapping[str, int] | None, expected: Mapping[str, int] | None, around: tuple | None) -> bool:
         def change(table: Table) -> bool:
             if stream is not None and table.batches.get(stream, -1) >= batch:
                 return False
             if any(table.batches.get(k, -1) != v for k, v in (expected or {}).items()):
                 return False
             table.segments.append(segment)
-            table.widen(columns)
+            table.widen(segment.columns)
             if stream is not None:
                 table.batches[stream] = batch
             table.batches.update(marks or {})
